@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("panel_queries",)
+AREAS = ("panel_queries", "forecast_queries")
 
 
 def load():
