@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("panel_queries", "forecast_queries", "function_queries", "schema_queries")
+AREAS = ("panel_queries", "forecast_queries", "function_queries", "schema_queries", "quality_queries")
 
 
 def load():

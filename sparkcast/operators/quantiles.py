@@ -8,6 +8,7 @@ outside it shrink to one counter per group on the map side, so no group is ever
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,13 +47,13 @@ def exact_quantiles(
             for i, (name, p) in enumerate(probabilities.items())
         ]
     )
-    # One row per group and the groups are few: this side is small whatever the data.
-    side = sketch.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.explode(targets).alias("_t"))
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] or [F.lit(True)]
-    condition = same[0]
-    for extra in same[1:]:
-        condition = condition & extra
-    placed = base.join(F.broadcast(side), condition)
+    if keys:
+        # One row per group and the groups are few: this side is small whatever the data.
+        side = sketch.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.explode(targets).alias("_t"))
+        condition = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys))
+        placed = base.join(F.broadcast(side), condition)
+    else:
+        placed = base.withColumn("_t", F.explode(sketch.select(targets).scalar()))
     zone = F.when(F.col("_v") < F.col("_t.low"), 0).when(F.col("_v") <= F.col("_t.high"), 1).otherwise(2)
     counted = (
         placed.select(*keys, "_t", zone.alias("_zone"), F.when(zone == 1, F.col("_v")).alias("_inside"))

@@ -14,7 +14,7 @@ from sparkcast.functions.text import cell
 from sparkcast.operators import profile as profiling
 from sparkcast.operators import schema
 from sparkcast.operators.panel import columns_by_role
-from sparkcast.session import scratch_path
+from sparkcast.session import materialize
 
 
 def profile_table(
@@ -39,9 +39,7 @@ def infer_schema(
     The mapping (one row per column) is written to the shared folder once, since the names of the
     ratio columns decide what the second pass reads.
     """
-    path = scratch_path(df.sparkSession, "mapping")
-    infer_roles(df, columns, row_id, cfg).write.parquet(path)
-    mapping = df.sparkSession.read.parquet(path)
+    mapping = materialize(infer_roles(df, columns, row_id, cfg), "mapping")
     by_role = columns_by_role(schema.roles_dict(mapping))
     return schema.apply_relationships(mapping, schema.relationship_evidence(df, by_role))
 
