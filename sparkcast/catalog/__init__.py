@@ -2,7 +2,10 @@
 
 from importlib import import_module
 
-AREAS = ("panel_queries", "forecast_queries", "function_queries", "schema_queries", "quality_queries")
+AREAS = (
+    "panel_queries", "forecast_queries", "function_queries", "schema_queries", "quality_queries", "readiness_queries",
+    "registry_queries",
+)
 
 
 def load():

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparkcast.functions.text import is_null_token, strip
+from sparkcast.functions.text import strip
 
-# The accepted shape of a decimal number, and refused currency signs.
+# The accepted shapes of a number.
 DECIMAL_PATTERN = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
 SPECIAL_PATTERN = r"^[+-]?(nan|inf|infinity)$"
-CURRENCY_SIGNS = ("$", "₹", "€", "£")
 
 
 def is_finite(x: Column) -> Column:
-    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    """True for a finite number; NaN sorts above infinity, and null stays null."""
+    return F.abs(x) < float("inf")
 
 
 def _decimal(text: Column) -> Column:
@@ -38,13 +38,13 @@ def parse_number_profile(c: Column) -> Column:
 
 
 def parse_number_quality(c: Column) -> Column:
-    """Number for quality rules: commas and a trailing percent sign are dropped, finite only."""
+    """Number for quality rules: commas and a trailing percent sign are dropped, finite only.
+
+    Null tokens and amounts with a currency sign are not numbers: the decimal shape keeps them out.
+    """
     text = F.replace(strip(c), F.lit(","), F.lit(""))
-    refused = is_null_token(text)
-    for sign in CURRENCY_SIGNS:
-        refused = refused | F.startswith(text, F.lit(sign))
     number = _decimal(strip(F.rtrim(text, F.lit("%"))))
-    return F.when(~refused & is_finite(number), number)
+    return F.when(is_finite(number), number)
 
 
 def parse_number_prep(c: Column) -> Column:

@@ -382,10 +382,11 @@ def rate_scale(q: QualityInput, stats: DataFrame | None = None) -> DataFrame:
 def outliers(q: QualityInput) -> DataFrame:
     """Values outside the 1.5 IQR fences; needs eight values, four distinct ones and some spread."""
     cells = _numeric_cells(q).filter(F.col("num").isNotNull())
+    # A histogram of at most four bins keeps four only when there are four distinct values or more.
     enough = (
         cells.groupBy(COLUMN)
-        .agg(F.count(F.lit(1)).alias("numbers"), F.count_distinct("num").alias("distinct_numbers"))
-        .filter((F.col("numbers") >= 8) & (F.col("distinct_numbers") > 3))
+        .agg(F.count(F.lit(1)).alias("numbers"), F.size(F.histogram_numeric("num", F.lit(4))).alias("bins"))
+        .filter((F.col("numbers") >= 8) & (F.col("bins") > 3))
     )
     quartiles = exact_quantiles(cells, [COLUMN], "num", {"q1": 0.25, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkcast.functions.numbers import is_finite
@@ -34,42 +34,40 @@ def exact_quantiles(
     sketch = base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_edges")
     )
-    small = F.col("_n") <= 4 * accuracy
-    targets = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("name"),
-                F.floor((F.col("_n") - 1) * F.lit(float(p))).alias("low_rank"),
-                ((F.col("_n") - 1) * F.lit(float(p))).alias("rank"),
-                F.when(small, float("-inf")).otherwise(F.col("_edges")[2 * i]).alias("low"),
-                F.when(small, float("inf")).otherwise(F.col("_edges")[2 * i + 1]).alias("high"),
-            )
-            for i, (name, p) in enumerate(probabilities.items())
-        ]
-    )
     if keys:
         # One row per group and the groups are few: this side is small whatever the data.
-        side = sketch.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.explode(targets).alias("_t"))
+        side = sketch.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_n", "_edges")
         condition = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys))
         placed = base.join(F.broadcast(side), condition)
     else:
-        placed = base.withColumn("_t", F.explode(sketch.select(targets).scalar()))
-    zone = F.when(F.col("_v") < F.col("_t.low"), 0).when(F.col("_v") <= F.col("_t.high"), 1).otherwise(2)
+        placed = base.withColumn("_s", sketch.select(F.struct("_n", "_edges")).scalar()).select(
+            "_v", "_s._n", "_s._edges"
+        )
+    v, n = F.col("_v"), F.col("_n")
+    brackets = [(F.col("_edges")[2 * i], F.col("_edges")[2 * i + 1]) for i in range(len(probabilities))]
+    inside = reduce(lambda a, b: a | b, (v.between(low, high) for low, high in brackets), n <= 4 * accuracy)
+    # Values between two brackets only count; they form one block, placed by its smallest value.
+    block = reduce(lambda a, b: a + b, ((v > high).cast("int") for _, high in brackets))
     counted = (
-        placed.select(*keys, "_t", zone.alias("_zone"), F.when(zone == 1, F.col("_v")).alias("_inside"))
-        .groupBy(*keys, "_t", "_zone", "_inside")
-        .agg(F.count(F.lit(1)).alias("_c"))
+        placed.select(*keys, "_n", "_v", inside.alias("_in"), block.alias("_block"))
+        .groupBy(*keys, "_in", F.when(F.col("_in"), v).alias("_exact"), F.when(~F.col("_in"), F.col("_block")).alias("_gap"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_at"), F.max("_n").alias("_n"))
     )
-    running = Window.partitionBy(*keys, "_t").orderBy("_zone", "_inside")
+    running = Window.partitionBy(*keys).orderBy("_at") if keys else Window.orderBy("_at")
     ranked = counted.withColumn("_through", F.sum("_c").over(running))
-    inside = F.when(F.col("_zone") == 1, F.col("_inside"))
-    picked = ranked.groupBy(*keys, F.col("_t.name").alias("_name"), F.col("_t.rank").alias("_rank"),
-                            F.col("_t.low_rank").alias("_low_rank")).agg(
-        F.min(F.when(F.col("_through") > F.col("_t.low_rank"), inside)).alias("_a"),
-        F.min(F.when(F.col("_through") > F.ceil(F.col("_t.rank")), inside)).alias("_b"),
-    )
-    share = F.col("_rank") - F.col("_low_rank")
-    value_at = F.col("_a") + (F.col("_b") - F.col("_a")) * share
-    return picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == name, value_at)).alias(name) for name in probabilities]
-    )
+
+    def at_rank(rank: Column) -> Column:
+        return F.min(F.when(F.col("_in") & (F.col("_through") > rank), F.col("_at")))
+
+    ends = []
+    for name, p in probabilities.items():
+        rank = (n - 1) * F.lit(float(p))
+        ends += [at_rank(F.floor(rank)).alias(f"_a_{name}"), at_rank(F.ceil(rank)).alias(f"_b_{name}")]
+    picked = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *ends)
+
+    def interpolated(name: str, p: float) -> Column:
+        rank = (n - 1) * F.lit(float(p))
+        low, high = F.col(f"_a_{name}"), F.col(f"_b_{name}")
+        return (low + (high - low) * (rank - F.floor(rank))).alias(name)
+
+    return picked.select(*keys, *[interpolated(name, p) for name, p in probabilities.items()])
