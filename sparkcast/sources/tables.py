@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,16 +51,24 @@ def scan_coverage(df: DataFrame, limit: int | None) -> DataFrame:
     )
 
 
-def table_digest(df: DataFrame) -> DataFrame:
-    """Order-free digest: row count and the sum of row hashes, combined on the map side.
+def row_hash(columns: Sequence[str]) -> Column:
+    """The leading 60 bits of the SHA-256 of a row, as a number."""
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(columns)]
+    return F.conv(F.substring(F.sha2(F.concat_ws("\x1f", *fields), 256), 1, 15), 16, 10).cast("decimal(20,0)")
 
-    The sum runs in decimals, so it neither overflows nor depends on the order of rows.
+
+def table_digest(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Order-free digest, of the table or of each group: row count and the sum of row hashes.
+
+    Sums combine on the map side and run in decimals, so the digest depends on neither the order of
+    rows nor the partitioning.
     """
-    fields = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(df.columns)]
-    row = F.xxhash64(*fields).cast("decimal(20,0)")
-    return df.agg(
-        F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum(row), F.lit(0)).cast("string").alias("hash_sum")
-    ).select("row_count", F.sha2(F.concat_ws(":", F.col("row_count").cast("string"), "hash_sum"), 256).alias("digest"))
+    summed = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.coalesce(F.sum(row_hash(df.columns)), F.lit(0)).cast("string").alias("_sum"),
+    )
+    digest = F.sha2(F.concat_ws(":", F.col("row_count").cast("string"), "_sum"), 256)
+    return summed.select(*by, "row_count", digest.alias("digest"))
 
 
 def lineage_mismatch(stored: DataFrame, current: DataFrame, key: str = "dataset_id") -> DataFrame:
