@@ -4,7 +4,7 @@ from importlib import import_module
 
 AREAS = (
     "panel_queries", "forecast_queries", "function_queries", "schema_queries", "quality_queries", "readiness_queries",
-    "registry_queries", "source_queries",
+    "registry_queries", "source_queries", "model_queries",
 )
 
 

@@ -28,3 +28,176 @@ def apply_scenario(df: DataFrame, assumptions: Mapping[str, Mapping[str, Any]])
         elif "add_value" in change:
             out[feature] = F.col(feature) + change["add_value"]
     return df.withColumns(out) if out else df
+
+
+def unit_hash(*parts: Column) -> Column:
+    """A repeatable number in [0, 1) for a key: the same on every attempt and partitioning."""
+    digest = F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256)
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(16**13)
+
+
+def _positions(df: DataFrame, groups: Sequence[str], share: str, name: str) -> DataFrame:
+    """Position of each row in the order of an evenly spread number, within each group.
+
+    Equal slices of [0, 1) hold equal shares of the rows, so every window stays near a million rows.
+    """
+    slices = F.greatest(F.ceil(df.agg(F.count(F.lit(1))).scalar() / F.lit(1_000_000)), F.lit(1))
+    tagged = df.withColumn("_slices", slices).withColumn("_slice", F.floor(F.col(share) * F.col("_slices"))).drop("_slices")
+    inside = Window.partitionBy(*groups, "_slice").orderBy(share)
+    sizes = tagged.groupBy(*groups, "_slice").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*groups, "_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    return (
+        tagged.withColumn("_n", F.row_number().over(inside))
+        .join(offsets, [*groups, "_slice"])
+        .withColumn(name, F.col("_offset") + F.col("_n"))
+        .drop("_slice", "_n", "_offset")
+    )
+
+
+def permutation_importance(
+    df: DataFrame,
+    key: str,
+    target: str,
+    features: Sequence[str],
+    score: Scorer,
+    metric: Callable[[Column, Column], Column],
+    repeats: int = 5,
+    seed: int = 42,
+) -> DataFrame:
+    """Mean and deviation of the loss of a metric when one feature is shuffled.
+
+    A shuffle pairs two orders of the rows by position, both given by a hash of the key: one order
+    for the rows, one for the donors of each (feature, repeat). All shuffles run in one job. The
+    metric is higher-is-better: an aggregate of (target, prediction).
+    """
+    base = score(df).agg(metric(F.col(target), F.col("prediction")).alias("b")).scalar()
+    rows = _positions(df.withColumn("_share", unit_hash(F.col(key), F.lit("row"), F.lit(seed))), [], "_share", "position")
+    rows = rows.drop("_share")
+    runs = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat")) for f in features for r in range(repeats)])
+    donor_value = F.coalesce(*[F.when(F.col("feature") == f, F.col(f).cast("double")) for f in features])
+    donors = (
+        df.select(key, *features, F.explode(runs).alias("_r"))
+        .select(key, "_r.feature", "_r.repeat", *features)
+        .select(
+            "feature", "repeat", donor_value.alias("_donor"),
+            unit_hash(F.col(key), F.col("feature"), F.col("repeat"), F.lit(seed)).alias("_share"),
+        )
+    )
+    placed = _positions(donors, ["feature", "repeat"], "_share", "position").drop("_share")
+    shuffled = rows.join(placed, "position").withColumns(
+        {f: F.when(F.col("feature") == f, F.col("_donor")).otherwise(F.col(f).cast("double")) for f in features}
+    )
+    losses = (
+        score(shuffled)
+        .groupBy("feature", "repeat")
+        .agg(metric(F.col(target), F.col("prediction")).alias("_score"))
+        .withColumn("drop", base - F.col("_score"))
+    )
+    return losses.groupBy("feature").agg(
+        F.avg("drop").alias("mean_decrease"), F.stddev_pop("drop").alias("std_decrease")
+    )
+
+
+def partial_dependence(df: DataFrame, feature: str, score: Scorer, points: int = 20) -> DataFrame:
+    """Mean prediction with one feature set to each point between its 5th and 95th percentile."""
+    ends = exact_quantiles(df, [], feature, {"low": 0.05, "high": 0.95})
+    steps = F.sequence(F.lit(0), F.lit(points - 1))
+    grid = ends.select(
+        F.transform(
+            steps,
+            lambda i: F.struct(
+                i.alias("point"), (F.col("low") + (F.col("high") - F.col("low")) * i / (points - 1)).alias("value")
+            ),
+        )
+    ).scalar()
+    expanded = df.withColumn("_g", F.explode(grid)).withColumn(feature, F.col("_g.value"))
+    return (
+        score(expanded)
+        .groupBy(F.col("_g.point").alias("point"))
+        .agg(F.max("_g.value").alias("grid_value"), F.avg("prediction").alias("mean_prediction"))
+    )
+
+
+def counterfactuals(
+    df: DataFrame,
+    key: str,
+    controllable: Sequence[str],
+    score: Scorer,
+    target_range: tuple[float, float],
+    bounds: Mapping[str, tuple[float, float]] | None = None,
+    draws: int = 100,
+    seed: int = 42,
+) -> DataFrame:
+    """Random changes of controllable features that bring the prediction into a range.
+
+    Without bounds a feature is drawn between half and one and a half of its value. Draws come from
+    hashes of the key, so a lost task makes the same ones again.
+    """
+    bounds = bounds or {}
+    scored = score(df).withColumnRenamed("prediction", "baseline_prediction")
+    tried = scored.withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    olds = {f"_old_{f}": F.col(f).cast("double") for f in controllable}
+    drawn: dict[str, Column] = {}
+    for f in controllable:
+        u = unit_hash(F.col(key), F.col("candidate"), F.lit(f), F.lit(seed))
+        low, high = (F.lit(float(b)) for b in bounds[f]) if f in bounds else (F.col(f) * 0.5, F.col(f) * 1.5)
+        drawn[f] = low + (high - low) * u
+    changed = tried.withColumns(olds).withColumns(drawn)
+    square = sum(((F.col(f) - F.col(f"_old_{f}")) * (F.col(f) - F.col(f"_old_{f}")) for f in controllable), F.lit(0.0))
+    hits = score(changed).filter(F.col("prediction").between(*target_range))
+    changes = F.create_map(
+        *[
+            x
+            for f in controllable
+            for x in (F.lit(f), F.struct(F.col(f"_old_{f}").alias("old"), F.col(f).cast("double").alias("new")))
+        ]
+    )
+    return hits.select(
+        key,
+        "candidate",
+        "baseline_prediction",
+        F.col("prediction").alias("counterfactual_prediction"),
+        changes.alias("changes"),
+        F.sqrt(square).alias("distance"),
+    )
+
+
+def anomaly_drivers(df: DataFrame, key: str, contributions: Sequence[str], keep: int = 5) -> DataFrame:
+    """The strongest contributions to each row, by size. They sit on the row: nothing is shuffled."""
+    pairs = F.array(
+        *[
+            F.struct((-F.abs(F.col(c))).alias("order"), F.lit(c).alias("feature"), F.col(c).cast("double").alias("contribution"))
+            for c in contributions
+        ]
+    )
+    return df.select(key, F.posexplode(F.slice(F.sort_array(pairs), 1, keep)).alias("_i", "_c")).select(
+        key, (F.col("_i") + 1).alias("rank"), F.col("_c.feature").alias("feature"),
+        F.col("_c.contribution").alias("contribution"),
+    )
+
+
+def linear_contributions(df: DataFrame, key: str, slopes: Mapping[str, float]) -> DataFrame:
+    """Exact contributions of a linear model: slope times the distance from the mean, in long form."""
+    means = df.agg(F.struct(*[F.avg(f).alias(f) for f in slopes])).scalar()
+    parts = F.array(
+        *[
+            F.struct(F.lit(f).alias("feature"), (F.lit(float(s)) * (F.col(f) - F.col(f"_m.{f}"))).alias("phi"))
+            for f, s in slopes.items()
+        ]
+    )
+    return df.withColumn("_m", means).select(key, F.explode(parts).alias("_p")).select(key, "_p.feature", "_p.phi")
+
+
+def contribution_summary(contributions: DataFrame) -> DataFrame:
+    """Mean absolute and mean contribution of each feature with its direction, strongest first."""
+    mean = F.col("mean_contribution")
+    summary = contributions.groupBy("feature").agg(
+        F.avg(F.abs("phi")).alias("mean_absolute_contribution"), F.avg("phi").alias("mean_contribution")
+    )
+    return summary.withColumns(
+        {
+            "direction": F.when(mean > 0, "positive").when(mean < 0, "negative").otherwise("neutral"),
+            "rank": F.row_number().over(Window.orderBy(F.col("mean_absolute_contribution").desc(), "feature")),
+        }
+    )

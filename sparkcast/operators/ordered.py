@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkcast.session import scratch_path
+
 ROWS_PER_BUCKET = 1_000_000
 
 
@@ -44,19 +46,24 @@ def with_previous(
     return joined.withColumns(previous).drop("_bucket", "_n", "_carried", *[f"_lag_{c}" for c in columns])
 
 
-def with_position(
-    df: DataFrame, order: str, tie: Sequence[str | Column] = (), name: str = "position",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-) -> DataFrame:
-    """Add the 1-based position of each row in the order of a long key; ties are split by `tie`."""
-    tagged = _bucketed(df, order, rows_per_bucket)
-    inside = Window.partitionBy("_bucket").orderBy(order, *tie)
-    sizes = tagged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+def with_position(df: DataFrame, order: Sequence[str | Column], name: str = "position") -> DataFrame:
+    """Add the 1-based position of each row in a total order of any columns.
+
+    The rows are sorted into files once. A file knows the index of each of its rows, so only the row
+    count of every file is needed to number them all.
+    """
+    path = scratch_path(df.sparkSession, "sorted")
+    df.orderBy(*order).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    file = F.col("_metadata.file_name")
+    part = F.regexp_extract(file, r"part-(\d+)", 1).cast("bigint")
+    piece = F.regexp_extract(file, r"-c(\d+)", 1).cast("bigint")
+    indexed = rows.select("*", part.alias("_part"), piece.alias("_piece"), F.col("_metadata.row_index").alias("_row"))
+    sizes = indexed.groupBy("_part", "_piece").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_part", "_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", "_piece", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     return (
-        tagged.withColumn("_n", F.row_number().over(inside))
-        .join(offsets, "_bucket")
-        .withColumn(name, F.col("_offset") + F.col("_n"))
-        .drop("_bucket", "_n", "_offset")
+        indexed.join(offsets, ["_part", "_piece"])
+        .withColumn(name, F.col("_offset") + F.col("_row") + 1)
+        .drop("_part", "_piece", "_row", "_offset")
     )
