@@ -29,7 +29,7 @@ SELECT * FROM (
   CASE WHEN event_id % 37 = 5 THEN '' ELSE CAST(CAST(value * 3 AS DECIMAL(14,2)) AS STRING) END AS revenue,
   CASE WHEN event_id % 29 = 3 THEN concat(CAST(clk % 40 AS STRING), '%')
        WHEN event_id % 31 = 2 THEN '120' WHEN imp = 0 THEN ''
-       ELSE CAST(round(clk * 1.0e0 / imp, 4) AS STRING) END AS ctr,
+       ELSE CAST(round(clk * 1.0e0 / imp + 3.14159e-6, 4) AS STRING) END AS ctr,
   CASE WHEN event_id % 23 = 3 THEN '9.5' ELSE '3.0' END AS roas,
   'NL' AS country,
   CASE WHEN event_id % 149 = 1 THEN 'tablet' ELSE 'phone' END AS device,
