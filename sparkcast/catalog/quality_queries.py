@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from sparkcast.catalog.registry import query, rnd, rnd_sql, rounded
+from sparkcast.catalog.registry import ORACLES, query, rnd, rnd_sql, rounded
 from sparkcast.catalog.text_views import (
     COLUMNS,
     MAPPING,
@@ -510,8 +510,26 @@ def _(spark, sf):
     return page(hits, ["rule_code", "affected_column"], 1, 2).select("rule_code", "affected_column", "total")
 
 
-@query("dq_report")
+def _all_rules_sql() -> str:
+    """Rule code, severity and row count of every rule, from the SQL of the single rules."""
+    parts = []
+    for name in ("dq_missing", "dq_empty", "dq_constant", "dq_near_constant", "dq_invalid_number", "dq_negative",
+                 "dq_rate_scale", "dq_outliers", "dq_bad_dates", "dq_out_of_order", "dq_future_dates", "dq_dup_dates",
+                 "dq_funnel", "dq_ratio", "dq_target_copy"):
+        parts.append(f"SELECT rule_code, severity, affected_row_count FROM ({ORACLES[name]})")
+    parts.append(f"SELECT rule_code, 'warning', affected_row_count FROM ({ORACLES['dq_gaps']})")
+    for name in ("dq_irregular", "dq_future_name", "dq_derived_target"):
+        parts.append(f"SELECT rule_code, severity, CAST(NULL AS BIGINT) FROM ({ORACLES[name]})")
+    parts.append("SELECT 'DQ_SCHEMA_001', 'warning', CAST(NULL AS BIGINT) FROM events HAVING count(*) > 0")
+    parts.append(
+        f"""SELECT 'DQ_DUPLICATE_002', 'warning', n FROM (WITH {TEXT_SQL} SELECT count(*) - count(DISTINCT (trim(date),
+        trim(campaign), trim(channel))) AS n FROM ev) WHERE n > 0"""
+    )
+    return " UNION ALL ".join(parts)
+
+
+@query("dq_report", _all_rules_sql())
 def _(spark, sf):
     """All rules in one report."""
     findings, _ = quality_report(text_input(spark, sf))
-    return findings.drop("evidence", "threshold")
+    return findings.select("rule_code", "severity", "affected_row_count")

@@ -304,7 +304,18 @@ def _(spark, sf):
     return out.select("row_id", "date", "channel", "spend", "revenue", "ctr", "device")
 
 
-@query("role_dictionary")
+LISTING_SQL = "listing AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{r}', '{r.replace('_', ' ').title()}', '{schema.role_class(r)}', "
+    f"CAST([{', '.join(repr(s) for s in schema.ROLE_SYNONYMS.get(r, []))}] AS VARCHAR[]))"
+    for r in schema.ROLES
+) + ") v(role, description, role_class, synonyms))"
+
+
+@query(
+    "role_dictionary",
+    f"""WITH {ROLES_SQL}, {LISTING_SQL}, used AS (SELECT semantic_role AS role, list(column_name ORDER BY column_name)
+      AS columns FROM mapped GROUP BY 1) SELECT listing.*, used.columns FROM listing LEFT JOIN used USING (role)""",
+)
 def _(spark, sf):
     """The dictionary with the columns of the raw table that carry each role."""
     used = mapping(spark, sf).groupBy(F.col("semantic_role").alias("role")).agg(

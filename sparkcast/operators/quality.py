@@ -382,22 +382,28 @@ def rate_scale(q: QualityInput, stats: DataFrame | None = None) -> DataFrame:
 def outliers(q: QualityInput) -> DataFrame:
     """Values outside the 1.5 IQR fences; needs eight values, four distinct ones and some spread."""
     cells = _numeric_cells(q).filter(F.col("num").isNotNull())
-    # A histogram of at most four bins keeps four only when there are four distinct values or more.
-    enough = (
+    limits = (
         cells.groupBy(COLUMN)
-        .agg(F.count(F.lit(1)).alias("numbers"), F.size(F.histogram_numeric("num", F.lit(4))).alias("bins"))
-        .filter((F.col("numbers") >= 8) & (F.col("bins") > 3))
+        .agg(F.count(F.lit(1)).alias("numbers"), F.min("num").alias("least"), F.max("num").alias("most"))
+        .filter(F.col("numbers") >= 8)
     )
     quartiles = exact_quantiles(cells, [COLUMN], "num", {"q1": 0.25, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    fences = (
-        enough.join(quartiles, COLUMN)
-        .filter(F.col("q3") > F.col("q1"))
-        .select(COLUMN, "numbers", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
+    fences = limits.join(quartiles, COLUMN).filter(F.col("q3") > F.col("q1")).select(
+        COLUMN, "numbers", "least", "most", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high")
     )
     # One row of fences per numeric column.
-    outside = cells.join(F.broadcast(fences), COLUMN).filter((F.col("num") < F.col("low")) | (F.col("num") > F.col("high")))
-    counted = outside.groupBy(COLUMN, "numbers", "low", "high").agg(F.count(F.lit(1)).alias("outside"))
+    placed = cells.join(F.broadcast(fences), COLUMN)
+    num = F.col("num")
+    beyond = (num < F.col("low")) | (num > F.col("high"))
+    # Four distinct values or more: at least two between the least and the most.
+    between = F.when((num > F.col("least")) & (num < F.col("most")), num)
+    counted = (
+        placed.groupBy(COLUMN, "numbers", "low", "high")
+        .agg(F.count_if(beyond).alias("outside"), F.min(between).alias("_first"), F.max(between).alias("_last"))
+        .filter((F.col("outside") > 0) & (F.col("_first") < F.col("_last")))
+    )
+    outside = placed.filter(beyond)
     ratio = F.col("outside") / F.col("numbers")
     rows = evidence_rows(outside, q.row_id, [COLUMN], q.cfg.evidence_rows)
     return _with_rows(counted, rows, [COLUMN]).select(
@@ -673,6 +679,8 @@ def target_copies(q: QualityInput) -> DataFrame:
         return no_findings(q)
     target = q.by_role[q.target_role]
     names = [c for c in q.columns if c != target and q.roles[c] not in DATE_ROLES]
+    if not names:
+        return no_findings(q)
     goal = cell(F.col(target))
     sums = []
     for i, name in enumerate(names):

@@ -55,16 +55,18 @@ def sniff_delimiter(spark: SparkSession, path: str, encoding: str = "utf-8") ->
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """utf-8-sig, utf-8, cp1252 or latin-1: the first that decodes every byte. One distributed pass."""
+    """utf-8, cp1252 or latin-1: the first that decodes every byte. One distributed pass.
+
+    A byte order mark needs no encoding of its own: the readers drop it.
+    """
     raw = spark.read.option("encoding", "ISO-8859-1").text(path)
     octets = F.encode("value", "ISO-8859-1").cast("string")
     found = raw.agg(
         F.bool_and(F.is_valid_utf8(octets)).alias("utf8"),
-        F.bool_or(F.startswith("value", F.lit("\xef\xbb\xbf"))).alias("bom"),
         F.bool_or(F.col("value").rlike(f"[{CP1252_UNDEFINED}]")).alias("undefined"),
     ).first()
     if found["utf8"] is None or found["utf8"]:
-        return "utf-8-sig" if found["bom"] else "utf-8"
+        return "utf-8"
     return "latin-1" if found["undefined"] else "cp1252"
 
 
