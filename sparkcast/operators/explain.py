@@ -85,7 +85,8 @@ def permutation_importance(
         )
     )
     placed = _positions(donors, ["feature", "repeat"], "_share", "position").drop("_share")
-    shuffled = rows.join(placed, "position").withColumns(
+    # Both sides grow with the data: always a sort-merge join.
+    shuffled = rows.hint("merge").join(placed, "position").withColumns(
         {f: F.when(F.col("feature") == f, F.col("_donor")).otherwise(F.col(f).cast("double")) for f in features}
     )
     losses = (

@@ -380,8 +380,13 @@ def rate_scale(q: QualityInput, stats: DataFrame | None = None) -> DataFrame:
 
 
 def outliers(q: QualityInput) -> DataFrame:
-    """Values outside the 1.5 IQR fences; needs eight values, four distinct ones and some spread."""
-    cells = _numeric_cells(q).filter(F.col("num").isNotNull())
+    """Values outside the 1.5 IQR fences; needs eight values, four distinct ones and some spread.
+
+    Limits, quartiles and fences each read the numbers, so the texts are parsed once and the numbers
+    written to the shared folder.
+    """
+    parsed = _numeric_cells(q).select(q.row_id, COLUMN, "num").filter(F.col("num").isNotNull())
+    cells = materialize(parsed, "numbers")
     limits = (
         cells.groupBy(COLUMN)
         .agg(F.count(F.lit(1)).alias("numbers"), F.min("num").alias("least"), F.max("num").alias("most"))
