@@ -304,7 +304,8 @@ def _(spark, sf):
 # --- explanations of a fixed linear score over line items -------------------------------------
 
 SLOPES = {"quantity": 1500.0, "discount": -2000.0, "tax": 0.0}
-ITEM_SQL = """item AS (SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_tax) AS BIGINT)
+ITEM_SQL = """item AS (SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_tax,
+  l_quantity, l_discount, l_extendedprice) AS BIGINT)
   AS id, l_extendedprice AS y, l_quantity AS quantity, l_discount AS discount, l_tax AS tax FROM lineitem)"""
 
 
@@ -315,7 +316,7 @@ def items(spark, sf):
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").alias("y"),
         F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"),
     )
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "tax"]
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "tax", "quantity", "discount", "y"]
     return with_position(rows, order, "id").select("id", "y", "quantity", "discount", "tax")
 
 
