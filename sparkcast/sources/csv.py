@@ -14,6 +14,7 @@ SAMPLE_LINES = 2000
 
 # Bytes cp1252 leaves undefined, and what it has in place of the other control codes.
 CP1252_UNDEFINED = "\x81\x8d\x8f\x90\x9d"
+CP1252_UNDEFINED_HEX = "81|8D|8F|90|9D"
 CP1252_BYTES = "".join(chr(b) for b in range(0x80, 0xA0) if chr(b) not in CP1252_UNDEFINED)
 CP1252_TEXT = "".join(bytes([ord(c)]).decode("cp1252") for c in CP1252_BYTES)
 
@@ -43,9 +44,9 @@ def delimiter_stats(lines: DataFrame, column: str = "value") -> DataFrame:
     return measured.select(F.explode(rows).alias("s")).select("s.*")
 
 
-def sniff_delimiter(spark: SparkSession, path: str, encoding: str = "utf-8") -> str:
+def sniff_delimiter(spark: SparkSession, path: str) -> str:
     """The delimiter with a constant positive count per line, else the most frequent one; comma when none."""
-    sample = spark.read.option("encoding", _java_name(encoding)).text(path).filter("value <> ''").limit(SAMPLE_LINES)
+    sample = spark.read.text(path).filter("value <> ''").limit(SAMPLE_LINES)
     rows = delimiter_stats(sample).collect()  # four rows
     steady = [r for r in rows if r["fewest"] and r["fewest"] == r["most"]]
     candidates = steady or [r for r in rows if r["average"]]
@@ -59,11 +60,11 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
 
     A byte order mark needs no encoding of its own: the readers drop it.
     """
-    raw = spark.read.option("encoding", "ISO-8859-1").text(path)
-    octets = F.encode("value", "ISO-8859-1").cast("string")
-    found = raw.agg(
-        F.bool_and(F.is_valid_utf8(octets)).alias("utf8"),
-        F.bool_or(F.col("value").rlike(f"[{CP1252_UNDEFINED}]")).alias("undefined"),
+    # The text reader hands on the bytes of a line as they are.
+    octets = F.hex(F.col("value").cast("binary"))
+    found = spark.read.text(path).agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+        F.bool_or(octets.rlike(f"^(..)*({CP1252_UNDEFINED_HEX})")).alias("undefined"),
     ).first()
     if found["utf8"] is None or found["utf8"]:
         return "utf-8"
@@ -114,7 +115,7 @@ def read_csv(
     without them, and they are split.
     """
     encoding = encoding or detect_encoding(spark, path)
-    delimiter = delimiter or sniff_delimiter(spark, path, encoding)
+    delimiter = delimiter or sniff_delimiter(spark, path)
     names = check_header(_header(spark, path, delimiter, encoding), max_columns)
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, REJECT])
     raw = (
