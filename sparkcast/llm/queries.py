@@ -12,7 +12,10 @@ from sparkcast.llm.decontamination import contamination
 from sparkcast.llm.exact_dedup import content_sort_groups
 from sparkcast.llm.minhash import near_duplicate_components
 from sparkcast.llm.piece_codec import encode_documents
+from sparkcast.llm.secrets import find_secrets, joined_spans
+from sparkcast.llm.substring_dedup import remove_repeats
 from sparkcast.llm.token_counts import count_tokens
+from sparkcast.llm.toxicity import fit, score
 from sparkcast.llm.url_filter import filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +44,17 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), rate=0.1, seed=7)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    n = lambda kind: F.size(F.filter("base", lambda s: s["label"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined_spans("base"), 256).alias("base_sha256"), joined_spans("spans").alias("spans"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
 
@@ -49,6 +63,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), span=100).drop("kept")
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicate_components(table(spark, sf_dir, "documents"), percent=85)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
@@ -59,7 +77,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_decontamination, op2_pieces, op5_token_counts, op7_exact_dedup, op9_minhash, op10_url_filter)
+    f.__name__: f for f in (op1_decontamination, op2_pieces, op3_toxicity, op4_secrets, op5_token_counts, op7_exact_dedup, op8_suffix_dedup, op9_minhash, op10_url_filter)
 }
 SQL: dict[str, str] = {}
 
