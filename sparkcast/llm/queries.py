@@ -11,6 +11,7 @@ from sparkcast.llm.common import table
 from sparkcast.llm.decontamination import contamination
 from sparkcast.llm.exact_dedup import content_sort_groups
 from sparkcast.llm.minhash import near_duplicate_components
+from sparkcast.llm.passages import mark_passages
 from sparkcast.llm.piece_codec import encode_documents
 from sparkcast.llm.secrets import find_secrets, joined_spans
 from sparkcast.llm.substring_dedup import remove_repeats
@@ -59,6 +60,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mark_passages(table(spark, sf_dir, "documents"), least=50, percent=80)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort_groups(table(spark, sf_dir, "documents"), keep="max")
 
@@ -77,7 +82,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_decontamination, op2_pieces, op3_toxicity, op4_secrets, op5_token_counts, op7_exact_dedup, op8_suffix_dedup, op9_minhash, op10_url_filter)
+    f.__name__: f for f in (op1_decontamination, op2_pieces, op3_toxicity, op4_secrets, op5_token_counts, op6_passages, op7_exact_dedup, op8_suffix_dedup, op9_minhash, op10_url_filter)
 }
 SQL: dict[str, str] = {}
 
