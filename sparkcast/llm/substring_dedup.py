@@ -167,7 +167,7 @@ def _sorted_runs(span: int, targets: int):
                 target = span_hashes(data, at, at + GRAM) % np.uint64(targets)
                 held.append((rows, meta, target.astype(np.int64)))
                 size += rows.nbytes
-            if size > 96_000_000:  # a run is bounded; more runs are merged later
+            if size > 48_000_000:  # a run is bounded; more runs are merged later
                 yield _run_rows(held, span)
                 held, size = [], 0
         if held:
@@ -251,7 +251,8 @@ def repeated_stretches(docs: DataFrame, span: int = 100, per_target: int = 100_0
     found = docs.filter(F.octet_length("text") >= span).mapInPandas(_anchor_rows(span), "doc_id long, keys array<long>, places array<int>")
     found = materialize(found, "anchors")
     flat = found.select("doc_id", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("place"))))
-    twice = flat.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    # written, so that the join below deals both sides anew and adaptive execution can split a hot key
+    twice = materialize(flat.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared-keys")
     kept = flat.join(twice, "key", "left_semi").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     kept = materialize(kept, "shared-anchors")
     total = kept.agg(F.sum(F.size("places"))).first()[0] or 0
