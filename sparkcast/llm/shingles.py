@@ -34,6 +34,13 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
     return mix((run[stops] - run[starts]) * down[starts])
 
 
+def run_hashes(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of hashes [start, stop), equal for equal runs wherever they stand."""
+    up, down = powers(len(values))
+    run = np.concatenate(([np.uint64(0)], np.cumsum(values * up[: len(values)])))
+    return mix((run[stops] - run[starts]) * down[starts])
+
+
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and stops of the runs without white space."""
     solid = np.concatenate(([False], ~_SPACE[data], [False]))
