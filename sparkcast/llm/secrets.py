@@ -79,7 +79,7 @@ def _two_sided(z: Column) -> Column:
 
 def battery(strings: DataFrame) -> DataFrame:
     """Add encoding, p_uniform, p_runs, p_serial and p (combined) to rows with a column `value`."""
-    bare = F.rtrim(F.lit("="), F.col("value"))
+    bare = F.rtrim(F.col("value"), F.lit("="))
     kind = F.coalesce(*[F.when(bare.rlike(f"^[{a.replace('-', chr(92) + '-')}]+$"), F.lit(i)) for i, (_, a) in enumerate(_ALPHABETS)], F.lit(len(_ALPHABETS) - 1))
     alphabet = F.element_at(F.array(*[F.lit(a) for _, a in _ALPHABETS]), F.col("kind") + 1)
     rows = strings.withColumn("kind", kind).withColumn("alphabet", alphabet).withColumn("k", F.length("alphabet"))
@@ -95,12 +95,12 @@ def battery(strings: DataFrame) -> DataFrame:
     changes = F.aggregate(F.zip_with(F.slice("high", 1, F.greatest(F.size("high") - 1, F.lit(0))), shifted, lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, x: s + x)
     mean = 2 * F.col("n1") * F.col("n0") / F.col("n") + 1
     var = (mean - 1) * (mean - 2) / (F.col("n") - 1)
-    rows = rows.withColumn("p_runs", F.when(var > 0, _two_sided((changes + 1 - mean) / F.sqrt(var))).otherwise(F.lit(1e-12)))
+    rows = rows.withColumn("p_runs", F.when(var > 0, _two_sided(F.try_divide(changes + 1 - mean, F.sqrt(var)))).otherwise(F.lit(1e-12)))
     rows = rows.withColumn("mu", F.aggregate("codes", F.lit(0.0), lambda s, x: s + x) / F.col("n"))
     spread = F.aggregate("codes", F.lit(0.0), lambda s, x: s + (x - F.col("mu")) * (x - F.col("mu")))
     ahead = F.slice("codes", 2, F.greatest(F.size("codes") - 1, F.lit(0)))
     cross = F.aggregate(F.zip_with(F.slice("codes", 1, F.greatest(F.size("codes") - 1, F.lit(0))), ahead, lambda a, b: (a - F.col("mu")) * (b - F.col("mu"))), F.lit(0.0), lambda s, x: s + x)
-    rows = rows.withColumn("p_serial", F.when(spread > 0, _two_sided((cross / spread + 1 / F.col("n")) * F.sqrt("n"))).otherwise(F.lit(1e-12)))
+    rows = rows.withColumn("p_serial", F.when(spread > 0, _two_sided((F.try_divide(cross, spread) + 1 / F.col("n")) * F.sqrt("n"))).otherwise(F.lit(1e-12)))
     half = -(F.log("p_uniform") + F.log("p_runs") + F.log("p_serial"))
     rows = rows.withColumn("half", half).withColumn("p", F.exp(-F.col("half")) * (1 + F.col("half") + F.col("half") * F.col("half") / 2))
     encoding = F.element_at(F.array(*[F.lit(n) for n, _ in _ALPHABETS]), F.col("kind") + 1)
