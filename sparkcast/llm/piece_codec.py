@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,7 +28,7 @@ from sparkcast.llm.common import texts
 from sparkcast.llm.token_counts import PairTable, chunks
 
 MARK = "\u2581"
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 250_000
 LONG_CHUNK = 200
 _LITERAL = ""  # the chunk of a literal word mark
 _CHUNK = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -69,8 +68,8 @@ class PieceCodec:
         for piece, i in self.ids.items():
             if len(piece) == 1:
                 self.of_point[ord(piece)] = i
-        self.literal = [self.bytes[b] for b in MARK.encode()]
-        self.known: list[dict[str, list[int]]] = [{} for _ in range(variants)]
+        self.literal = np.array([self.bytes[b] for b in MARK.encode()], np.int32).tobytes()
+        self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
 
     # -- merging
 
@@ -113,15 +112,16 @@ class PieceCodec:
                 offer(prev[i])
         return [s for s, a in zip(sym, alive, strict=True) if a]
 
-    def merge_short(self, items: list[tuple[int, str]]) -> list[list[int]]:
-        """Many chunks side by side: in each round every chunk takes its next candidate."""
+    def merge_short(self, items: list[tuple[int, str]]) -> list[bytes]:
+        """Many chunks side by side: in each round every chunk takes its next candidate. Returns packed piece ids."""
         sizes = np.fromiter((len(c) for _, c in items), np.int64, len(items))
         points = np.frombuffer("".join(c for _, c in items).encode("utf-32-le", "surrogatepass"), np.uint32)
         symbols = self.of_point[points]
         left = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         stop = left + 1
         keys = np.fromiter((self._key(v, c) for v, c in items), np.uint64, len(items))
-        live, done = np.arange(len(items)), [[]] * len(items)
+        live, done = np.arange(len(items)), [b""] * len(items)
+        odd = np.logical_or.reduceat(symbols >= self.unknown, np.cumsum(sizes) - sizes)
         while len(live):
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             rank = np.full(len(symbols), _NONE, np.int32)
@@ -135,7 +135,8 @@ class PieceCodec:
             going = lowest != _NONE
             if not going.all():
                 for k in np.flatnonzero(~going):
-                    done[live[k]] = symbols[starts[k] : starts[k] + sizes[k]].tolist()
+                    own = symbols[starts[k] : starts[k] + sizes[k]]
+                    done[live[k]] = self._packed(own.tolist()) if odd[live[k]] else own.tobytes()
             if not going.any():
                 break
             hits = np.flatnonzero((rank == np.repeat(lowest, sizes)) & (rank != _NONE))
@@ -151,19 +152,17 @@ class PieceCodec:
 
     # -- texts
 
-    def _ids(self, symbols: list[int]) -> list[int]:
-        if max(symbols) < self.unknown:
-            return symbols
-        out = []
+    def _packed(self, symbols: list[int]) -> bytes:
+        """Piece ids as 32-bit integers; characters without a piece become their bytes."""
+        out: list[int] = []
         for s in symbols:
             if s < self.unknown:
                 out.append(s)
             else:
-                c = chr(s - self.unknown)
-                out.extend(self.bytes[b] for b in c.encode("utf-8", "surrogatepass"))
-        return out
+                out.extend(self.bytes[b] for b in chr(s - self.unknown).encode("utf-8", "surrogatepass"))
+        return np.array(out, np.int32).tobytes()
 
-    def encode(self, batch: list[tuple[int, str]]) -> list[list[int]]:
+    def encode(self, batch: list[tuple[int, str]]) -> list[np.ndarray]:
         """Pieces of each (document id, text)."""
         if sum(map(len, self.known)) > CACHE_CHUNKS:
             self.known = [{} for _ in self.known]
@@ -179,11 +178,11 @@ class PieceCodec:
         short = [x for x in fresh if len(x[1]) <= LONG_CHUNK]
         if short:
             for (v, c), merged in zip(short, self.merge_short(short), strict=True):
-                self.known[v][c] = self._ids(merged)
+                self.known[v][c] = merged
         for v, c in fresh:
             if len(c) > LONG_CHUNK:
-                self.known[v][c] = self._ids(self.merge_long(v, c))
-        return [list(chain.from_iterable(map(self.known[v].__getitem__, parts))) for v, parts in cut]
+                self.known[v][c] = self._packed(self.merge_long(v, c))
+        return [np.frombuffer(b"".join(map(self.known[v].__getitem__, parts)), np.int32) for v, parts in cut]
 
     def _chunks(self, text: str) -> list[str]:
         """Chunks of a text with spaces written as marks. A literal mark stands alone as a chunk that is never merged."""
@@ -214,9 +213,9 @@ def encode_documents(
             rows = list(zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True))
             for a, b in chunks([t for _, t in rows]):
                 pieces = codec.encode(rows[a:b])
-                same = [codec.decode(p) == t for p, (_, t) in zip(pieces, rows[a:b], strict=True)]
+                same = [codec.decode(p.tolist()) == t for p, (_, t) in zip(pieces, rows[a:b], strict=True)]
                 yield pd.DataFrame(
-                    {"doc_id": batch["doc_id"].iloc[a:b].to_numpy(), "pieces": [np.array(p, np.int32) for p in pieces], "n_pieces": [len(p) for p in pieces], "lossless": same}
+                    {"doc_id": batch["doc_id"].iloc[a:b].to_numpy(), "pieces": pieces, "n_pieces": [len(p) for p in pieces], "lossless": same}
                 )
 
     return texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, pieces array<int>, n_pieces long, lossless boolean")
