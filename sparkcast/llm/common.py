@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkcast.session import materialize
 
 BROADCAST_ROWS = 1_000_000
+BATCH_ROWS = "2000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs, under fixed names, so that extra columns never clash.
-    A null text counts as empty."""
+    A null text counts as empty. Texts are long, so Python workers get fewer rows at once than Spark's default."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return docs.select(
         F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
     )
