@@ -70,6 +70,7 @@ class PieceCodec:
                 self.of_point[ord(piece)] = i
         self.literal = np.array([self.bytes[b] for b in MARK.encode()], np.int32).tobytes()
         self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.older: list[dict[str, bytes]] = [{} for _ in range(variants)]
 
     # -- merging
 
@@ -164,8 +165,8 @@ class PieceCodec:
 
     def encode(self, batch: list[tuple[int, str]]) -> list[np.ndarray]:
         """Pieces of each (document id, text)."""
-        if sum(map(len, self.known)) > CACHE_CHUNKS:
-            self.known = [{} for _ in self.known]
+        if sum(map(len, self.known)) > CACHE_CHUNKS // 2:  # two generations: what is still in use moves on
+            self.older, self.known = self.known, [{} for _ in self.known]
         for known in self.known:
             known[_LITERAL] = self.literal
         cut, wanted = [], [set() for _ in self.known]
@@ -174,7 +175,13 @@ class PieceCodec:
             parts = self._chunks(text)
             cut.append((variant, parts))
             wanted[variant].update(parts)
-        fresh = [(v, c) for v, some in enumerate(wanted) for c in some.difference(self.known[v])]
+        fresh = []
+        for v, some in enumerate(wanted):
+            for c in some.difference(self.known[v]):
+                if (kept := self.older[v].get(c)) is not None:
+                    self.known[v][c] = kept
+                else:
+                    fresh.append((v, c))
         short = [x for x in fresh if len(x[1]) <= LONG_CHUNK]
         if short:
             for (v, c), merged in zip(short, self.merge_short(short), strict=True):
