@@ -131,6 +131,10 @@ def forecast_boosted(
             )
             if any(r["n"] < MIN_GROUP_ROWS for r in sizes):
                 raise BoostingError("Insufficient group history for a per-group model")
+            groups = list(cfg.group_columns)
+            unseen = held.select(groups).join(train.filter(F.col(cfg.target_column).isNotNull()).select(groups).distinct(), groups, "left_anti")
+            if unseen.limit(1).count():
+                raise BoostingError("A group to be scored has no training rows")
             pieces = []
             for r in sizes:
                 match = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.lit(r[g])) for g in cfg.group_columns))
