@@ -121,9 +121,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
-    coded = encoding.one_hot(rows, rows, "l_suppkey", limit=20)
-    rare = f"l_suppkey={encoding.INFREQUENT}"
-    flag = F.col(f"`{rare}`") if rare in coded.columns else F.lit(0)
+    coded = encoding.one_hot(rows, rows, "l_suppkey", max_categories=20)
+    flag = F.col(f"`l_suppkey={encoding.INFREQUENT}`")
     return coded.select("l_orderkey", "l_linenumber", "l_suppkey", flag.alias("rare"))
 
 

@@ -493,8 +493,7 @@ def _(spark, sf):
 
 @query(
     "dq_recommendations",
-    f"""WITH {SCORED_SQL} SELECT rule_code, affected_column FROM fi
-    ORDER BY rule_code, affected_column NULLS FIRST LIMIT 20""",
+    f"""WITH {SCORED_SQL} SELECT rule_code, affected_column FROM fi""",
 )
 def _(spark, sf):
     return dq.recommendations(scored_findings(spark, sf)).select("rule_code", "affected_column")

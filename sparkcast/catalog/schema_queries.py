@@ -17,7 +17,6 @@ from sparkcast.catalog.text_views import (
     number_prep_sql,
     number_quality_sql,
 )
-from sparkcast.config import ProfileConfig
 from sparkcast.operators import profile, schema
 from sparkcast.plans.infer import infer_roles, profile_table, typed_projection
 
@@ -68,21 +67,6 @@ def _(spark, sf):
     return shown(profile.column_profile(events_text(spark, sf), COLUMNS, "row_id"))
 
 
-@query(
-    "column_profile_bounded",
-    f"""WITH {profile_sql('(SELECT * FROM ev ORDER BY row_id LIMIT 5000)', '0')},
-    firsts AS (SELECT column_name, value, row_number() OVER (PARTITION BY column_name ORDER BY row_id) AS i
-               FROM parsed WHERE value <> ''),
-    u AS (SELECT column_name, count(DISTINCT value) AS k FROM firsts WHERE i <= 1000 GROUP BY 1)
-    SELECT column_name, sample_count, null_count, coalesce(k, 0) AS unique_count, date_min, date_max
-    FROM prof LEFT JOIN u USING (column_name)""",
-)
-def _(spark, sf):
-    cfg = ProfileConfig(sample_rows=5000, unique_limit=1000)
-    out = profile.column_profile(events_text(spark, sf), COLUMNS, "row_id", cfg)
-    return out.select("column_name", "sample_count", "null_count", "unique_count", "date_min", "date_max")
-
-
 TYPED_SQL = """typed AS (SELECT *, coalesce(unique_count / nullif(filled_count, 0), 0) AS unique_rate,
   greatest(numeric_rate, date_rate) AS parse_success_rate, CASE WHEN filled_count = 0 THEN 'empty'
   WHEN all_boolean THEN 'boolean' WHEN numeric_rate = 1 AND integer_rate = 1 THEN 'integer' WHEN numeric_rate = 1 THEN 'float'

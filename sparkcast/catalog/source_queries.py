@@ -112,12 +112,12 @@ def _(spark, sf):
 
 @query(
     "scan_coverage",
-    """SELECT count(*) AS total_rows, least(count(*), 250000) AS scanned_rows,
-    round(least(count(*), 250000) / greatest(count(*), 1), 6) AS coverage_ratio,
-    CASE WHEN count(*) > 250000 THEN 'bounded' ELSE 'full' END AS scan_mode FROM lineitem""",
+    """SELECT count(*) AS total_rows, count(*) FILTER (o_orderstatus <> 'P') AS scanned_rows,
+    round(count(*) FILTER (o_orderstatus <> 'P') / greatest(count(*), 1), 6) AS coverage_ratio,
+    CASE WHEN count(*) FILTER (o_orderstatus <> 'P') < count(*) THEN 'bounded' ELSE 'full' END AS scan_mode FROM orders""",
 )
 def _(spark, sf):
-    return tables.scan_coverage(table(spark, sf, "lineitem"), 250_000)
+    return tables.scan_coverage(table(spark, sf, "orders"), F.col("o_orderstatus") != "P")
 
 
 def _row_sql(columns) -> str:

@@ -80,23 +80,26 @@ def impute_mode(df: DataFrame, train: DataFrame, columns: Sequence[str]) -> Data
     return df.withColumns({c: F.coalesce(F.col(c), fit_mode(train, c)) for c in columns})
 
 
-def frequent_categories(train: DataFrame, column: str, limit: int = MAX_CATEGORIES) -> list[str]:
+def frequent_categories(train: DataFrame, column: str, limit: int | None = None) -> list[str]:
     """Categories with a column of their own: all, or the most frequent when there are more than `limit`.
 
-    At most `limit + 1` rows reach the driver.
+    With a limit at most `limit + 1` rows reach the driver; without one, as many as the result has columns.
     """
+    if limit is None:
+        return sorted(r["category"] for r in category_counts(train, column).select("category").collect())
     top = category_counts(train, column).orderBy(F.col("n").desc(), "category").limit(limit + 1).collect()
     kept = top if len(top) <= limit else top[: limit - 1]
     return sorted(r["category"] for r in kept)
 
 
-def one_hot(df: DataFrame, train: DataFrame, column: str, limit: int = MAX_CATEGORIES) -> DataFrame:
-    """0/1 columns per category. Categories beyond the limit share one column; unseen ones have none."""
+def one_hot(df: DataFrame, train: DataFrame, column: str, max_categories: int | None = None) -> DataFrame:
+    """0/1 columns per category; unseen categories have none. With `max_categories` the less frequent ones beyond it
+    share one column, which is there even when no category is that rare."""
     counts = category_counts(train, column)
-    kept = frequent_categories(train, column, limit)
+    kept = frequent_categories(train, column, max_categories)
     value = F.col(column).cast("string")
     out = df.withColumns({f"{column}={k}": F.coalesce((value == k).cast("int"), F.lit(0)) for k in kept})
-    if counts.count() > limit:
+    if max_categories is not None:
         rare = counts.filter(~F.col("category").isin(*kept)).select(
             F.col("category").alias("_rare"), F.lit(1).alias("_hit")
         )

@@ -11,11 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkcast.config import ProfileConfig
 from sparkcast.functions.dates import has_time_layout, parse_date_profile
 from sparkcast.functions.numbers import is_whole, parse_number_profile
 from sparkcast.functions.text import cell, is_boolean_token, normalize_name
-from sparkcast.sources.tables import bounded_scan
 
 COLUMN, VALUE = "column_name", "value"
 
@@ -40,26 +38,11 @@ def _position(columns: Sequence[str]) -> Column:
     return (F.array_position(F.array(*[F.lit(c) for c in columns]), F.col(COLUMN)) - 1).cast("int")
 
 
-def _first_distinct(df: DataFrame, columns: Sequence[str], row_id: str, limit: int) -> DataFrame:
-    """Distinct values among the first `limit` non-blank ones; the rank filter is applied before the shuffle."""
-    order = Window.partitionBy(COLUMN).orderBy(row_id)
-    head = (
-        long_values(df, columns, row_id)
-        .filter(F.col(VALUE) != "")
-        .withColumn("_n", F.row_number().over(order))
-        .filter(F.col("_n") <= limit)
-    )
-    return head.groupBy(COLUMN).agg(F.count_distinct(VALUE).alias("_unique"))
-
-
-def column_profile(
-    df: DataFrame, columns: Sequence[str], row_id: str, cfg: ProfileConfig = ProfileConfig()
-) -> DataFrame:
+def column_profile(df: DataFrame, columns: Sequence[str], row_id: str) -> DataFrame:
     """One row per column: counts, distinct values, parse rates, numeric, date and length ranges."""
-    scanned = bounded_scan(df, [row_id], cfg.sample_rows)
     filled = F.col(VALUE) != ""
     number, moment = F.col("num"), F.col("ts")
-    parsed = value_counts(scanned, columns, row_id).withColumns(
+    parsed = value_counts(df, columns, row_id).withColumns(
         {
             "num": F.when(filled, parse_number_profile(F.col(VALUE))),
             "ts": F.when(filled, parse_date_profile(F.col(VALUE))),
@@ -91,14 +74,6 @@ def column_profile(
         F.min("size").alias("string_min_length"),
         F.max("size").alias("string_max_length"),
     )
-    if cfg.unique_limit is not None:
-        capped = _first_distinct(scanned, columns, row_id, cfg.unique_limit)
-        counted = (
-            counted.join(capped, COLUMN, "left")
-            .withColumn("unique_count", F.coalesce("_unique", F.lit(0)).cast("bigint"))
-            .drop("_unique")
-        )
-
     def rate(part: str, whole: str) -> Column:
         return F.coalesce(F.try_divide(F.col(part), F.col(whole)), F.lit(0.0))
 

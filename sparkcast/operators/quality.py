@@ -776,8 +776,8 @@ def filter_findings(
     return findings
 
 
-def recommendations(findings: DataFrame, limit: int = 20) -> DataFrame:
-    """The first pieces of advice, in rule and column order."""
-    return findings.orderBy("rule_code", "affected_column", F.array_join("related_columns", ",")).limit(limit).select(
+def recommendations(findings: DataFrame) -> DataFrame:
+    """All pieces of advice, in rule and column order; there are at most a few per column and rule."""
+    return findings.orderBy("rule_code", "affected_column", F.array_join("related_columns", ",")).select(
         "rule_code", "affected_column", "recommendation"
     )

@@ -20,7 +20,7 @@ from sparkcast.session import materialize
 def profile_table(
     df: DataFrame, columns: Sequence[str], row_id: str, cfg: ProfileConfig = ProfileConfig()
 ) -> DataFrame:
-    return profiling.physical_types(profiling.column_profile(df, columns, row_id, cfg))
+    return profiling.physical_types(profiling.column_profile(df, columns, row_id))
 
 
 def infer_roles(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 # Delimiters tried in order.
 DELIMITERS = (",", ";", "\t", "|")
 REJECT = "_corrupt_record"
-SAMPLE_LINES = 2000
 
 # Bytes cp1252 leaves undefined, and what it has in place of the other control codes.
 CP1252_UNDEFINED = "\x81\x8d\x8f\x90\x9d"
@@ -45,9 +45,9 @@ def delimiter_stats(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """The delimiter with a constant positive count per line, else the most frequent one; comma when none."""
-    sample = spark.read.text(path).filter("value <> ''").limit(SAMPLE_LINES)
-    rows = delimiter_stats(sample).collect()  # four rows
+    """The delimiter with a constant positive count per line, else the most frequent one; comma when none.
+    All lines count, in one distributed pass."""
+    rows = delimiter_stats(spark.read.text(path).filter("value <> ''")).collect()  # four rows
     steady = [r for r in rows if r["fewest"] and r["fewest"] == r["most"]]
     candidates = steady or [r for r in rows if r["average"]]
     if not candidates:
@@ -77,7 +77,7 @@ def _java_name(encoding: str) -> str:
     )
 
 
-def check_header(names: Sequence[str], max_columns: int = 500) -> list[str]:
+def check_header(names: Sequence[str], max_columns: int | None = None) -> list[str]:
     """Clean column names: no mark or blanks around them, none empty, none repeated, not too many."""
     clean = [n.replace("﻿", "").replace("ï»¿", "").strip() for n in names]
     if not clean or not any(clean):
@@ -86,12 +86,12 @@ def check_header(names: Sequence[str], max_columns: int = 500) -> list[str]:
         raise CsvError("Column names must not be blank")
     if len(set(clean)) != len(clean):
         raise CsvError("Column names must be unique")
-    if len(clean) > max_columns:
+    if max_columns is not None and len(clean) > max_columns:
         raise CsvError(f"The file has more than {max_columns} columns")
     return clean
 
 
-def _header(spark: SparkSession, path: str, delimiter: str, encoding: str) -> list[str]:
+def _header(spark: SparkSession, path: str | list[str], delimiter: str, encoding: str) -> list[str]:
     first = (
         spark.read.option("sep", delimiter).option("quote", '"').option("escape", '"')
         .option("encoding", _java_name(encoding)).option("header", "false").csv(path).first()
@@ -101,22 +101,52 @@ def _header(spark: SparkSession, path: str, delimiter: str, encoding: str) -> li
     return ["" if v is None else v for v in first]
 
 
+def _by_header(spark: SparkSession, path: str) -> list[str | list[str]]:
+    """`path` itself when its files share their first line, else the files of each first line."""
+    lines = spark.read.text(path)
+    if len(lines.inputFiles()) < 2:
+        return [path]
+    placed = lines.select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    firsts = placed.groupBy("file").agg(F.min_by("value", F.struct("block", "at")).alias("line"))
+    alike = firsts.groupBy("line").agg(F.collect_list("file").alias("files"))
+    if alike.limit(2).count() < 2:
+        return [path]
+    return [r["files"] for r in alike.orderBy(F.array_min("files")).collect()]  # file names only
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
     delimiter: str | None = None,
     encoding: str | None = None,
     multi_line: bool = True,
-    max_columns: int = 500,
+    max_columns: int | None = None,
 ) -> DataFrame:
     """Text columns plus `_corrupt_record` (rows with too few or too many cells) and the row's place.
 
+    Columns of several files are matched by name. Files that name other columns are an error.
+
     Quoted line breaks need `multi_line`, which keeps a file in one task. Set it off for large files
     without them, and they are split.
     """
     encoding = encoding or detect_encoding(spark, path)
     delimiter = delimiter or sniff_delimiter(spark, path)
-    names = check_header(_header(spark, path, delimiter, encoding), max_columns)
+    parts, names = [], []
+    for files in _by_header(spark, path):
+        own = check_header(_header(spark, files, delimiter, encoding), max_columns)
+        names = names or own
+        if set(own) != set(names):
+            raise CsvError(f"The files differ in their columns: {', '.join(sorted(set(own) ^ set(names)))}")
+        parts.append(_read_files(spark, files, own, delimiter, encoding, multi_line))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _read_files(
+    spark: SparkSession, path: str | list[str], names: list[str], delimiter: str, encoding: str, multi_line: bool
+) -> DataFrame:
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, REJECT])
     raw = (
         spark.read.schema(schema)

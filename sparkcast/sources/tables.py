@@ -34,15 +34,11 @@ def page(df: DataFrame, order: Sequence[str], number: int = 1, size: int = 50) -
     return df.orderBy(*order).offset((number - 1) * size).limit(size).withColumn("total", total)
 
 
-def bounded_scan(df: DataFrame, order: Sequence[str], limit: int | None) -> DataFrame:
-    """The first rows in row order, or all of them."""
-    return df if limit is None else df.orderBy(*order).limit(limit)
-
-
-def scan_coverage(df: DataFrame, limit: int | None) -> DataFrame:
-    """How much of a table a bounded scan covers."""
-    counted = df.agg(F.count(F.lit(1)).alias("total_rows"))
-    scanned = F.col("total_rows") if limit is None else F.least("total_rows", F.lit(limit).cast("bigint"))
+def scan_coverage(df: DataFrame, scanned: Column | None = None) -> DataFrame:
+    """How much of a table a scan covers. `scanned` tells of each row whether it was used; by default all are."""
+    used = F.count(F.lit(1)) if scanned is None else F.count_if(scanned)
+    counted = df.agg(F.count(F.lit(1)).alias("total_rows"), used.alias("_used"))
+    scanned = F.col("_used")
     return counted.select(
         "total_rows",
         scanned.alias("scanned_rows"),

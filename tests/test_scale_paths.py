@@ -32,7 +32,7 @@ def test_bracketed_quantiles_are_exact(spark, keys):
 
 def test_previous_row_across_buckets(spark):
     rng = random.Random(4)
-    ids = rng.sample(range(100000), 500) + [5_000_000]
+    ids = rng.sample(range(100000), 500) + [5_000_000, 2**60]  # far values do not widen any part
     rows = [(i, rng.randrange(50)) for i in ids]
     df = spark.createDataFrame(rows, "id bigint, v int").repartition(6)
     got = {r["id"]: r["previous_v"] for r in with_previous(df, "id", ["v"], rows_per_bucket=20).collect()}
@@ -63,9 +63,13 @@ def test_one_hot_shares_a_column_for_rare_categories(spark):
     rows = [("a",)] * 5 + [("b",)] * 4 + [("c",)] * 2 + [("d",)]
     df = spark.createDataFrame(rows, "c string")
     unseen = df.union(spark.createDataFrame([("zz",)], "c string"))
-    out = encoding.one_hot(unseen, df, "c", limit=3)
+    out = encoding.one_hot(unseen, df, "c", max_categories=3)
     assert [c for c in out.columns if "=" in c] == ["c=a", "c=b", "c=infrequent"]
     assert out.agg(F.sum("`c=infrequent`")).first()[0] == 3
+    wide = encoding.one_hot(df, df, "c", max_categories=9)
+    assert wide.agg(F.sum("`c=infrequent`")).first()[0] == 0
+    many = spark.range(150).select(F.col("id").cast("string").alias("c"))
+    assert len(encoding.one_hot(many, many, "c").columns) == 151
     assert out.filter("c = 'zz'").select("`c=a`", "`c=b`", "`c=infrequent`").first() == (0, 0, 0)
 
 

@@ -49,7 +49,7 @@ def test_cp1252_text_is_kept(spark, tmp_path):
 @pytest.mark.parametrize("names", [["a", "a"], ["a", " "], ["", ""], [f"c{i}" for i in range(501)]])
 def test_bad_headers(names):
     with pytest.raises(csv.CsvError):
-        csv.check_header(names)
+        csv.check_header(names, max_columns=500)
 
 
 def test_ragged_rows_are_rejected_with_their_line(spark, tmp_path):
@@ -107,3 +107,18 @@ def test_file_digest(spark, tmp_path):
 
     path = write(tmp_path / "f.csv", b"a,b\n1,2\n")
     assert sinks.file_digests(spark, path).first()["checksum"] == hashlib.sha256(b"a,b\n1,2\n").hexdigest()
+
+
+def test_columns_of_several_files_match_by_name(spark, tmp_path):
+    write(tmp_path / "a.csv", "x,y\n1,2\n")
+    write(tmp_path / "b.csv", "y,x\n20,10\n")
+    rows = csv.accepted(csv.read_csv(spark, str(tmp_path), ",", "utf-8")).select("x", "y").collect()
+    assert sorted(map(tuple, rows)) == [("1", "2"), ("10", "20")]
+    write(tmp_path / "c.csv", "x,z\n1,2\n")
+    with pytest.raises(csv.CsvError):
+        csv.read_csv(spark, str(tmp_path), ",", "utf-8")
+
+
+def test_a_late_line_counts_for_the_delimiter(spark, tmp_path):
+    path = write(tmp_path / "f.csv", "a,b;c\n" * 3000 + "a;c\n")
+    assert csv.sniff_delimiter(spark, path) == ";"
