@@ -152,9 +152,9 @@ def fold_table(bounds: DataFrame, folds: int) -> DataFrame:
 
 
 def evaluation_windows(
-    bounds: DataFrame, prepared_folds: int, backtest_folds: int = 5, final_test: bool = False
+    bounds: DataFrame, prepared_folds: int, backtest_folds: int = 5, final_test: bool = False, only_test: bool = False
 ) -> Column:
-    """Array of evaluation windows: validation, the latest folds, and the final test when asked."""
+    """Array of evaluation windows: validation, the latest folds, and the final test when asked, or the test alone."""
     span = lambda split, a, b, c, d: F.struct(
         F.lit(split).alias("split"),
         F.lit(None).cast("int").alias("fold"),
@@ -164,8 +164,11 @@ def evaluation_windows(
         F.col(d).alias("validation_end"),
     )
     fixed = [span("validation", "train_start", "train_end", "validation_start", "validation_end")]
+    test = span("test", "train_start", "validation_end", "test_start", "test_end")
+    if only_test:
+        return bounds.select(F.array(test).cast(FOLD_TYPE)).scalar()
     if final_test:
-        fixed.append(span("test", "train_start", "validation_end", "test_start", "test_end"))
+        fixed.append(test)
     folds = _fold_array(prepared_folds)
     keep = F.least(F.size(folds), F.lit(backtest_folds))
     latest = F.slice(folds, F.size(folds) - keep + 1, keep)

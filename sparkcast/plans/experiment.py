@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sparkcast.config import (
     BASELINE_MODELS,
@@ -19,6 +21,7 @@ from sparkcast.config import (
 )
 from sparkcast.operators import baselines, evaluate, smoothing
 from sparkcast.operators.boosting import forecast_boosted
+from sparkcast.operators.features import safe_boosted_features, safe_linear_features, target_copies
 from sparkcast.operators.linear import collect_windows, forecast_linear
 from sparkcast.operators.splits import evaluation_windows, split_bounds
 from sparkcast.session import materialize
@@ -32,51 +35,98 @@ class ExperimentResult:
     ranking: DataFrame
     skipped: DataFrame
     test_metrics: DataFrame
+    statuses: DataFrame
 
 
-def forecast_all(
+def safe_features(
+    panel: DataFrame, cfg: PreparationConfig, features: Sequence[str], catalog: DataFrame | None = None
+) -> tuple[list[str], list[str]]:
+    """Features for linear and for boosted models: those the catalog allows, without exact copies of the target.
+
+    A name that the catalog does not hold safe for linear models is an error, as it was asked for. Copies are
+    judged on the training rows alone. Without a catalog only copies are left out.
+    """
+    linear = boosted = list(features)
+    if catalog is not None and features:
+        linear = [r["feature_name"] for r in safe_linear_features(catalog, cfg, features).collect()]
+        allowed = safe_boosted_features(catalog, cfg).filter("allowed").collect()  # one row per column
+        boosted = [f for f in features if f in {r["feature_name"] for r in allowed}]
+    text = {name for name, kind in panel.dtypes if kind in ("string", "boolean", "date", "timestamp")}
+    numeric = [f for f in features if f not in text]
+    if numeric:
+        until = split_bounds(panel, cfg).select("train_end").scalar()
+        train = panel.withColumn("_until", until).filter(F.col(cfg.date_column).cast("date") <= F.col("_until"))
+        found = target_copies(train, cfg.target_column, numeric).filter("is_target_copy").collect()
+        copies = {r["feature_name"] for r in found}
+        linear, boosted = [f for f in linear if f not in copies], [f for f in boosted if f not in copies]
+    return linear, boosted
+
+
+def forecast_families(
     panel: DataFrame,
     cfg: PreparationConfig,
     forecast: ForecastConfig,
     features: Sequence[str] = (),
+    boosted_features: Sequence[str] | None = None,
     final_test: bool = False,
     models: Sequence[str] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """(predictions, slices) of the enabled models over every evaluation window."""
+) -> tuple[list[tuple[list[str], Callable[[], DataFrame]]], DataFrame]:
+    """(models, predictions to be made) of each family that shares a pass, and the slices of all windows.
+
+    With `final_test` the only window is the test, trained on everything before it.
+    """
     wanted = list(models or forecast.models)
     season = seasonal_period(cfg.frequency, forecast.seasonal_period)
-    windows = evaluation_windows(split_bounds(panel, cfg), cfg.backtest_folds, forecast.backtest_folds, final_test)
+    windows = evaluation_windows(
+        split_bounds(panel, cfg), cfg.backtest_folds, forecast.backtest_folds, only_test=final_test
+    )
     slices = baselines.evaluation_slices(baselines.series_histories(panel, cfg), windows)
-    parts = []
-    simple = [m for m in wanted if m in BASELINE_MODELS]
-    if simple:
-        chosen = baselines.baseline_models(simple, season, forecast.moving_average_windows)
-        parts.append(baselines.forecast_series(slices, chosen))
-    smooth = [m for m in wanted if m in SMOOTHING_MODELS]
-    if smooth:
-        parts.append(smoothing.forecast_smoothing(slices, smooth, season))
-    linear = [m for m in wanted if m in LINEAR_MODELS]
-    boosted = [m for m in wanted if m in BOOSTED_MODELS]
-    if linear or boosted:
-        spans = collect_windows(panel, windows)
-        if linear:
-            allowed = forecast.linear_features or features
-            parts.append(forecast_linear(panel, cfg, spans, allowed, linear))
-        if boosted:
-            parts.append(forecast_boosted(panel, cfg, spans, features, early_stopping=0.15))
-    return reduce(DataFrame.unionByName, parts), slices
+    spans = lambda: collect_windows(panel, windows)
+    linear = forecast.linear_features or features
+    boosted = features if boosted_features is None else boosted_features
+    makers = (
+        (BASELINE_MODELS, lambda own: baselines.forecast_series(
+            slices, baselines.baseline_models(own, season, forecast.moving_average_windows))),
+        (SMOOTHING_MODELS, lambda own: smoothing.forecast_smoothing(slices, own, season)),
+        (LINEAR_MODELS, lambda own: forecast_linear(panel, cfg, spans(), linear, own)),
+        (BOOSTED_MODELS, lambda own: forecast_boosted(panel, cfg, spans(), boosted, early_stopping=0.15)),
+    )
+    families = []
+    for known, make in makers:
+        own = [m for m in wanted if m in known]
+        if own:
+            families.append((own, lambda make=make, own=own: make(own)))
+    return families, slices
 
 
 def run_experiment(
-    panel: DataFrame, cfg: PreparationConfig, forecast: ForecastConfig, features: Sequence[str] = ()
+    panel: DataFrame,
+    cfg: PreparationConfig,
+    forecast: ForecastConfig,
+    features: Sequence[str] = (),
+    catalog: DataFrame | None = None,
 ) -> ExperimentResult:
     """Everything in the order that keeps the test set unseen: the test is scored for the winner only.
 
-    The panel and the predictions are written once to the shared folder, as many steps read them.
+    The panel and the predictions are written once to the shared folder, as many steps read them. Families of models
+    are written one by one: where one cannot be fitted, its models are marked failed and the others go on.
     """
     stored = materialize(panel, "panel")
-    predicted, slices = forecast_all(stored, cfg, forecast, features)
-    predictions = materialize(predicted, "predictions")
+    linear, boosted = safe_features(stored, cfg, features, catalog)
+    if forecast.linear_features:
+        own, _ = safe_features(stored, cfg, forecast.linear_features, catalog)
+        forecast = replace(forecast, linear_features=tuple(own))
+    families, slices = forecast_families(stored, cfg, forecast, linear, boosted)
+    parts, statuses = [], []
+    for own, make in families:
+        try:
+            parts.append(materialize(make(), "predictions"))
+            statuses += [(m, "completed", None) for m in own]
+        except (ValueError, PySparkException) as e:
+            statuses += [(m, "failed", str(e).split("\n", 1)[0]) for m in own]
+    if not parts:
+        raise ValueError(f"No model could be fitted: {statuses}")
+    predictions = reduce(DataFrame.unionByName, parts)
     season = seasonal_period(cfg.frequency, forecast.seasonal_period)
     scale = evaluate.pooled_scales if forecast.pooled_scale else evaluate.naive_scales
     metrics = evaluate.metrics(predictions, scales=scale(slices, season), epsilon=forecast.epsilon)
@@ -84,14 +134,16 @@ def run_experiment(
     ranking = materialize(evaluate.rank_models(metrics, backtest, forecast.selection_metric), "ranking")
     winner = ranking.filter("selected").first()
     if winner is None:
-        raise ValueError("All requested models failed or produced invalid metrics")
+        raise ValueError("No model has valid scores to be ranked by")
     name = winner["model"]
     base = "moving_average" if name.startswith("moving_average_") else name
-    final, _ = forecast_all(stored, cfg, forecast, features, final_test=True, models=[base])
-    test = final.filter((final["split"] == "test") & (final["model"] == name))
+    last, test_slices = forecast_families(stored, cfg, forecast, linear, boosted, final_test=True, models=[base])
+    test = last[0][1]().filter(F.col("model") == name)
     chosen = baselines.baseline_models(
         [m for m in forecast.models if m in BASELINE_MODELS], season, forecast.moving_average_windows
     )
     return ExperimentResult(
-        predictions, metrics, backtest, ranking, baselines.skipped_series(slices, chosen), evaluate.metrics(test)
+        predictions, metrics, backtest, ranking, baselines.skipped_series(slices, chosen),
+        evaluate.metrics(test, scales=scale(test_slices, season), epsilon=forecast.epsilon),
+        panel.sparkSession.createDataFrame(statuses, "model string, status string, reason string"),
     )

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from sparkcast.config import ForecastConfig, PreparationConfig
 from sparkcast.operators import baselines, boosting, evaluate, linear, smoothing
-from sparkcast.operators.features import add_trend
+from sparkcast.operators.features import add_trend, feature_catalog
+from sparkcast.operators.panel import PreparationError
 from sparkcast.operators.splits import evaluation_windows, split_bounds
-from sparkcast.plans.experiment import run_experiment
+from sparkcast.plans.experiment import run_experiment, safe_features
 
 CFG = PreparationConfig("y", "date", ("g",))
 
@@ -151,3 +152,27 @@ def test_experiment_tests_the_winner_once(spark, two_groups):
     tests = result.test_metrics.collect()
     assert len(tests) == 1 and tests[0]["wape"] == pytest.approx(0, abs=1e-9)
     assert {r["split"] for r in result.predictions.select("split").distinct().collect()} == {"validation", "backtest"}
+
+
+def test_experiment_keeps_out_copies_and_unsafe_names(spark, two_groups):
+    cfg = replace(CFG, backtest_folds=2)
+    rows = add_trend(two_groups, cfg).withColumn("twin", F.col(cfg.target_column) * 1.0)
+    assert safe_features(rows, cfg, ["days_since_start", "twin"]) == (["days_since_start"], ["days_since_start"])
+    mapping = spark.createDataFrame([(cfg.target_column, "revenue", "float"), ("twin", "revenue", "float")],
+                                    "column_name string, semantic_role string, physical_type string")
+    catalog = feature_catalog(mapping, cfg, {})
+    with pytest.raises(PreparationError):
+        run_experiment(rows, cfg, ForecastConfig(models=("linear_regression",)), ["twin"], catalog)
+
+
+def test_a_failing_family_does_not_end_the_experiment(spark, two_groups, monkeypatch):
+    def fails(*args, **kwargs):
+        raise ValueError("singular")
+
+    monkeypatch.setattr("sparkcast.plans.experiment.forecast_linear", fails)
+    cfg = replace(CFG, backtest_folds=2)
+    result = run_experiment(two_groups, cfg, ForecastConfig(models=("drift", "ridge_regression"), backtest_folds=2))
+    status = {r["model"]: (r["status"], r["reason"]) for r in result.statuses.collect()}
+    assert status == {"drift": ("completed", None), "ridge_regression": ("failed", "singular")}
+    tested = result.test_metrics.first()
+    assert tested["model"] == "drift" and tested["mase"] is not None
