@@ -24,7 +24,7 @@ def _sorted_files(df: DataFrame, order: Sequence[str | Column], rows_per_file: i
     return df.sparkSession.read.schema(df.schema).parquet(path).select(
         "*",
         F.regexp_extract(file, r"part-(\d+)", 1).cast("bigint").alias("_part"),
-        F.regexp_extract(file, r"-c(\d+)", 1).cast("bigint").alias("_piece"),
+        F.regexp_extract(file, r"-c(\d+)\.", 1).cast("bigint").alias("_piece"),
         F.col("_metadata.row_index").alias("_row"),
     )
 
