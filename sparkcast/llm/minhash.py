@@ -27,8 +27,8 @@ from sparkcast.session import materialize
 
 K = 128
 BLOCK = 512
-#: A sketch that is cut off estimates the similarity; its bounds are taken this much lower.
-SLACK = 0.08
+#: A sketch that is cut off estimates the similarity; its bounds are taken this much lower, over four standard errors.
+SLACK = 0.14
 
 
 def _signatures(size: int, k: int):
@@ -101,9 +101,12 @@ def _links_in_block(percent: int, k: int):
             hold = np.zeros((len(sets), 2048), np.float32)
             hold[owner[part], code[part] - low] = 1
             common += hold @ hold.T
-        kept = np.minimum(sizes, k)
+        # a sketch that is cut off knows the union only up to its last value
         whole = sizes <= k
-        union = kept[:, None] + kept[None, :] - common
+        last = np.array([s[-1] if len(s) else 0 for s in sketches], np.uint64)
+        last[whole] = np.iinfo(np.uint64).max
+        known = np.array([np.searchsorted(s, last, "right") for s in sketches])
+        union = known + known.T - common
         floor = np.where(whole[:, None] & whole[None, :], percent / 100 - 1e-6, percent / 100 - SLACK)
         size_ok = 100 * np.minimum(sizes[:, None], sizes[None, :]) >= percent * np.maximum(sizes[:, None], sizes[None, :])
         first = block["root"].to_numpy()
@@ -143,7 +146,8 @@ def near_duplicate_components(
     scored = values.join(shared, "value").groupBy("doc_id").agg(
         F.first("n").alias("n"), F.first("kept").alias("kept"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("ranked")
     )
-    least = F.when(F.col("n") <= k, F.ceil(F.col("n") * percent / 100)).otherwise(F.ceil(F.col("kept") * (percent / 100 - SLACK)))
+    # exact where no similar set is large enough for its sketch to be cut off
+    least = F.when(F.col("n") * 100 <= k * percent, F.ceil(F.col("n") * percent / 100)).otherwise(F.ceil(F.col("kept") * (percent / 100 - SLACK)))
     alone = F.col("kept") - F.size("ranked")  # values no other document has come first
     room = (F.col("kept") - least + 1 - alone).cast("int")
     prefix = scored.filter(room > 0).select("doc_id", "n", F.explode(F.slice("ranked", 1, room)).alias("r"))

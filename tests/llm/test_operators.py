@@ -265,11 +265,11 @@ def brute_components(texts, percent):
         w = re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(t))
         sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
     root = list(range(len(sets)))
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b]]
+    links = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     for _ in sets:
-        for a in range(len(sets)):
-            for b in range(a):
-                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                    root[a] = root[b] = min(root[a], root[b])
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
     return [(len(s), r) for s, r in zip(sets, root, strict=True)]
 
 
@@ -284,12 +284,35 @@ def test_minhash(make_docs):
             copy[rng.randrange(260)] = f"edit{rng.random()}"
         texts.append(" ".join(copy))
     texts += [" ".join(sentences(60, 4)), " ".join(sentences(60, 4)), "a b c d e f", "A b c d e f\n"]
+    wanted = brute_components(texts, 85)
     for block in (8, 512):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicate_components(make_docs(texts), percent=85, block=block).collect()}
-        assert [got[i] for i in range(len(texts))] == brute_components(texts, 85)
+        assert [got[i] for i in range(len(texts))] == wanted
     assert minhash.near_duplicate_components(make_docs([])).count() == 0
 
 
+def test_minhash_sets_around_the_sketch_size(make_docs):
+    """Parts of longer texts, whose sketches are cut off at different values; a head shares lines with all."""
+    common, texts = sentences(70, 30), [" ".join(sentences(70, 400))]
+    for k in range(60):
+        whole = common + sentences(100 + k, 70 + 4 * k)
+        texts += [" ".join(whole), " ".join(whole[: int(len(whole) * 0.87)])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicate_components(make_docs(texts), percent=85).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, 85)
+
+
+def test_minhash_block_links_sets_of_different_sizes():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    for n in (100, 127, 128, 129, 170, 400):
+        large = np.sort(rng.integers(0, 2**63, n, dtype=np.uint64))
+        small = np.sort(rng.choice(large, int(np.ceil(n * 0.86)), replace=False))
+        block = pd.DataFrame({"doc_id": [1, 2], "root": [1, 2], "shingles": [large.tobytes(), small.tobytes()]})
+        assert minhash._links_in_block(85, 128)(block).to_numpy().tolist() == [[1, 2]]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 300), (300, 200), (5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), "chain").collect()}
