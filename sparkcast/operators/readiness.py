@@ -91,7 +91,9 @@ def covariate_classes(catalog: DataFrame, groups: Sequence[str], target: str) ->
     derived = F.col("availability_type") == "target_derived"
     for term in TARGET_DERIVED_TERMS:
         derived = derived | F.contains(lower, F.lit(term))
-    lag = F.coalesce(F.try_element_at("parameters", F.lit("lag")).try_cast("int"), F.lit(0))
+    # generated lags name their shift "periods"; catalogs from elsewhere may say "lag"
+    shifts = [F.try_element_at("parameters", F.lit(key)).try_cast("int") for key in ("periods", "lag")]
+    lag = F.coalesce(F.least(*shifts), F.lit(0))
     negative = F.contains(lower, F.lit("lag_-")) | (lag < 0)
     centered = F.contains(lower, F.lit("centered")) | F.coalesce(
         F.try_element_at("parameters", F.lit("centered")) == "true", F.lit(False)

@@ -106,3 +106,15 @@ def test_catalog_marks_leaks(spark):
 def test_bad_configurations(change):
     with pytest.raises(ValueError):
         replace(CFG, **change)
+
+
+def test_negative_shift_under_either_key_is_excluded(spark):
+    from sparkcast.operators.readiness import covariate_classes
+
+    rows = [("a", {"periods": "-2"}), ("b", {"lag": "-1"}), ("c", {"periods": "2"}), ("d", {})]
+    catalog = spark.createDataFrame(
+        [(n, "lag", "historical_only", "none", True, p) for n, p in rows],
+        "feature_name string, feature_type string, availability_type string, leakage_risk string, included boolean, parameters map<string,string>",
+    )
+    got = {r[0]: r[1] for r in covariate_classes(catalog, [], "y").collect()}
+    assert got == {"a": "excluded", "b": "excluded", "c": "historical", "d": "historical"}
