@@ -1,7 +1,8 @@
 """A corpus pipeline of the training-data operators.
 
 Stages run in order, each on all that its predecessor kept. All but the last keep the columns of documents; rejected
-documents go. Null texts count as empty everywhere; empty tables pass through.
+documents go. Null texts count as empty everywhere; empty tables pass through. Of rows that repeat id and text one stays.
+A stage other than exact dedup that rejects an id rejects all rows of it, also those with another text.
 """
 
 from __future__ import annotations
@@ -31,8 +32,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest id stays."""
-    return _without(docs, content_sort_groups(docs, keep="min").filter("not kept"), "copies")
+    """Of equal texts the smallest id stays, in one row. Rows are told apart by id and text, so an id that repeats keeps its other texts."""
+    marks = content_sort_groups(docs, keep="min").groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest"))
+    marks = materialize(marks.agg(F.bool_or("kept").alias("stays"), F.count("*").alias("n")).filter("not stays or n > 1"), "copies")
+    here = docs.withColumn("_digest", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    same = lambda m: F.col("doc_id").eqNullSafe(m["id"]) & (F.col("_digest") == m["digest"])
+    marked, repeated = sized(marks), sized(marks.filter("stays"))
+    single = here.join(marked, same(marked), "left_anti")
+    return single.union(here.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "_digest"])).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

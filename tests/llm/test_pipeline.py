@@ -53,3 +53,12 @@ def test_pipeline_on_nothing(spark, sf_dir):
         docs = stage(spark, docs, sf_dir)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == 0
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark, make_docs, sf_dir):
+    texts, ids = ["same text", "same text", "same text", "other text", "same text", None, "", "alone"], [5, 5, 9, 9, None, 7, 7, None]
+    left = corpus_pipeline.exact_dedup(spark, make_docs(texts, ids), sf_dir)
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, "alone"), (5, "same text"), (7, ""), (9, "other text")]
+    for stage in (corpus_pipeline.near_dedup, corpus_pipeline.decontamination):
+        left = stage(spark, left, sf_dir)
+    assert left.count() == 4
