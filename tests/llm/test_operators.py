@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -197,6 +198,24 @@ def test_passages(make_docs):
     assert passages.mark_passages(make_docs([])).count() == 0
 
 
+@pytest.mark.parametrize("size", [50, 54, 60, 64, 70])
+def test_passages_with_edits_near_their_ends(size):
+    """Edits near either end and unrelated text around: the long unbroken rest is always found."""
+    verify = passages._verified(50, 80)
+    for change in [None, 0, 4, 5, 10, 14, size - 15, size - 11, size - 6, size - 1]:
+        base = sentences(40, size)
+        edited = [w if k != change else "changed" for k, w in enumerate(base)]
+        x, y = " ".join(sentences(41, 80) + base + sentences(42, 80)), " ".join(sentences(45, 80) + edited + sentences(46, 80))
+        pair = pd.DataFrame({"a": [1], "b": [2], "x": [x], "y": [y], "pieces": [[{"shift": 0, "start": 0, "stop": size + 156}]]})
+        found = next(verify(iter([pair])))
+        gone = {k for r in found.itertuples() for k in range(r.start, r.stop)}
+        rest = [(0, size)] if change is None else [(0, change), (change + 1, size)]
+        for low, high in rest:
+            if high - low >= 50:
+                assert set(range(80 + low, 80 + high)) <= gone, (size, change)
+        assert gone <= set(range(80 - 5, 80 + size + 5))
+
+
 # -- 7
 
 
