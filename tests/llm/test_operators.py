@@ -216,6 +216,18 @@ def test_passages_with_edits_near_their_ends(size):
         assert gone <= set(range(80 - 5, 80 + size + 5))
 
 
+def test_passages_behind_other_uses_of_their_phrases(make_docs):
+    """The earliest document holds each phrase of a passage alone; two later ones share the passage."""
+    shared, head = sentences(50, 60), []
+    for k in range(46 * 4):
+        head += shared[k % 46 : k % 46 + 15] + sentences(1000 + k, 60)
+    texts = [head, sentences(51, 90) + shared + sentences(52, 90), sentences(53, 90) + shared + sentences(54, 90)]
+    got = {r.doc_id: r for r in passages.mark_passages(make_docs([" ".join(t) for t in texts])).collect()}
+    start, stop = map(int, got[2].spans.split(":"))
+    assert 90 - 1 <= start <= 90 and 150 <= stop <= 150 + 1 and got[2].sources == [1]
+    assert got[0].n_passages == got[1].n_passages == 0
+
+
 # -- 7
 
 
