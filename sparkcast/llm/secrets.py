@@ -2,7 +2,7 @@
 
 Known forms are found leftmost and without overlap for each kind: assign, access, hex. Other strings of at least 20
 characters of an encoding, with letters and digits, are tested. The narrowest encoding that holds the string is inferred
-(hex, base32, base36, base62, base64). Three tests take "uniformly random over this encoding" as their hypothesis:
+(hex and base36 in either case, base32, base62, base64). Three tests take "uniformly random over this encoding" as their hypothesis:
 chi-squared on the counts of the alphabet, runs above and below its middle, and lag-one serial correlation; Fisher's
 method combines them. A weighted step-up procedure controls the share of random strings among those found to be
 written language; weights follow the length, as longer strings carry more evidence. What is not rejected is reported
@@ -30,8 +30,10 @@ _KEYWORDS = r"(?i:password|passwd|secret|token|api_?key)"
 _CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 _ALPHABETS = [
     ("hex", "0123456789abcdef"),
+    ("upper hex", "0123456789ABCDEF"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("upper base36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", "+/-_0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
 ]

@@ -158,6 +158,15 @@ def test_secrets(make_docs):
     assert secrets.find_secrets(make_docs([])).count() == 0
 
 
+def test_secrets_in_upper_case(make_docs):
+    rng = random.Random(8)
+    keys = ["".join(rng.choice(a) for _ in range(40)) for a in ("0123456789ABCDEF", "0123456789" + UP) for _ in range(30)]
+    prose = [f"A{k}THETHETHETHETHETHETHETHETHETHE" for k in range(30)]
+    rows = secrets.find_secrets(make_docs([*keys, *prose])).collect()
+    flagged = {r.doc_id for r in rows if any(s.label == "random" for s in r.spans)}
+    assert len(flagged & set(range(30))) >= 27 and len(flagged & set(range(30, 60))) >= 27 and len(flagged & set(range(60, 90))) <= 2
+
+
 # -- 5
 
 
