@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from sparkcast.llm.common import table
 from sparkcast.llm.decontamination import contamination
 from sparkcast.llm.exact_dedup import content_sort_groups
+from sparkcast.llm.fill_in_middle import fill_in_middle, restored
+from sparkcast.llm.filter_audit import filter_audit
 from sparkcast.llm.minhash import near_duplicate_components
 from sparkcast.llm.passages import mark_passages
 from sparkcast.llm.piece_codec import encode_documents
 from sparkcast.llm.secrets import find_secrets, joined_spans
+from sparkcast.llm.sharding import uniform_shards
 from sparkcast.llm.substring_dedup import remove_repeats
 from sparkcast.llm.token_counts import count_tokens
 from sparkcast.llm.toxicity import fit, score
@@ -81,8 +84,32 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("rows").alias("law")
+    )
+    return uniform_shards(rows, shards=24, seed=11).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"), seed=42)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored("output", "form"), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_decontamination, op2_pieces, op3_toxicity, op4_secrets, op5_token_counts, op6_passages, op7_exact_dedup, op8_suffix_dedup, op9_minhash, op10_url_filter)
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_pieces, op3_toxicity, op4_secrets, op5_token_counts, op6_passages, op7_exact_dedup, op8_suffix_dedup,
+        op9_minhash, op10_url_filter, op11_filter_audit, op12_sharding, op13_fill_in_middle,
+    )
 }
 SQL: dict[str, str] = {}
 
@@ -131,3 +158,40 @@ f AS (SELECT page_id, h || p AS rule, verdict, row_number() OVER (PARTITION BY p
   FROM v JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM v LEFT JOIN (SELECT * FROM f WHERE k = 1) USING (page_id)
 """
+
+SQL["op11_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+g AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  concat(CASE WHEN len(words) < 200 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END,
+    CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END,
+    CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END, CASE WHEN doc_id > first THEN 'E' ELSE '' END) AS fails
+  FROM w LEFT JOIN g USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM f GROUP BY 1, 2),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step::INT AS step, substr(filter_order, step::INT, 1) AS here, substr(filter_order, 1, step::INT - 1) AS past FROM o, range(1, 6) r(step)),
+m AS (SELECT part, filter_order, step, here, n, n_good, n_toxic, fails,
+  contains(fails, here) AS hit, regexp_matches(fails, '[' || past || '-]') AS gone FROM c, s),
+t AS (SELECT part, filter_order, step, here,
+  coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (hit AND NOT gone), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (hit AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = here), 0)::BIGINT AS unique_fails,
+  coalesce(sum(n_good) FILTER (hit AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(n_toxic) FILTER (hit AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM m GROUP BY 1, 2, 3, 4)
+SELECT * EXCLUDE (here), (sum(removed) OVER (PARTITION BY part, here))::BIGINT AS shapley FROM t
+"""
+
+SQL["op13_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h FROM documents),
+t AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS toks FROM d),
+u AS (SELECT *, len(toks) AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS k FROM t),
+c AS (SELECT *, least(k[1] % (n + 1), k[2] % (n + 1)) AS a, greatest(k[1] % (n + 1), k[2] % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR k[3] % 100 >= 50 THEN 'plain'
+    WHEN k[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(toks[1 : a], '') AS pre, array_to_string(toks[a + 1 : b], '') AS mid, array_to_string(toks[b + 1 : n], '') AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p
+"""
