@@ -15,6 +15,7 @@ from sparkcast.catalog.views import (
     MONTHLY,
     MONTHLY_SQL,
     ROLES,
+    SALES,
     WEEKLY,
     WEEKLY_SQL,
     daily,
@@ -25,7 +26,7 @@ from sparkcast.catalog.views import (
     windows,
     windows_sql,
 )
-from sparkcast.config import ForecastConfig
+from sparkcast.config import MODELS, ForecastConfig
 from sparkcast.operators import boosting, encoding, explain, linear, smoothing
 from sparkcast.operators.baselines import PREDICTION_COLUMNS, evaluation_slices, series_histories
 from sparkcast.operators.features import add_calendar, add_trend, target_copies
@@ -235,15 +236,15 @@ def _(spark, sf):
 
 @query("experiment")
 def _(spark, sf):
-    """All statistical and linear models on the monthly panel, ranked, the winner tested once."""
+    """All models on the monthly panel, boosted trees among them, ranked, the winner tested once."""
     panel = featured(monthly(spark, sf), MONTHLY)
-    result = run_experiment(panel, MONTHLY, ForecastConfig(moving_average_windows=(3, 12)), CALENDAR)
+    result = run_experiment(panel, MONTHLY, ForecastConfig(models=MODELS, moving_average_windows=(3, 12)), CALENDAR)
     tested = result.test_metrics.select("model", F.col("wape").alias("test_wape"))
     return result.ranking.join(tested, "model", "left")
 
 
-SMALL = {"max_iter": 8, "max_depth": 3, "step_size": 0.2}
 NUMERIC = ("calendar_month", "calendar_quarter", "calendar_year", "days_since_start")
+STUMPS = {"max_iter": 3, "max_depth": 1, "step_size": 0.5}
 
 
 def _boosted_panel(spark, sf):
@@ -252,31 +253,86 @@ def _boosted_panel(spark, sf):
     return cfg, featured(panel, cfg), linear.collect_windows(panel, windows(panel, cfg))
 
 
+CHANNEL_SQL = f"""{SALES},
+  monthly AS (SELECT channel, CAST(date_trunc('month', date) AS DATE) AS date, CAST(sum(revenue) AS DOUBLE) AS revenue FROM sales GROUP BY ALL),
+  {windows_sql('monthly')},
+  ft AS (SELECT channel, date, revenue AS y, [month(date) * 1e0, quarter(date) * 1e0, year(date) * 1e0,
+      date_diff('day', min(date) OVER (PARTITION BY channel), date) * 1e0 LABELS] AS x FROM monthly),
+  r0 AS (SELECT coalesce(w.fold, 0) AS k, w.split, w.fold, channel AS series, date, y, x, date <= w.train_end AS train, 0e0 AS pred
+    FROM ft JOIN win w ON date BETWEEN w.train_start AND w.validation_end)"""
+
+
+def _stumps_sql(key: str, labels: str, rounds: int = 3, rate: float = 0.5) -> tuple[str, str]:
+    """Boosted stumps as SQL: each round takes the cut of the largest gain; equal gains go to the first feature and the lowest cut."""
+    sql = CHANNEL_SQL.replace("LABELS", labels)
+    sql += f""",
+  p0 AS (SELECT * EXCLUDE (pred), avg(y) FILTER (train) OVER (PARTITION BY {key}) AS pred FROM r0)"""
+    for i in range(1, rounds + 1):
+        sql += f""",
+  v{i} AS (SELECT {key}, f, x[f] AS v, sum(y - pred) AS g, count(*) AS n FROM p{i - 1}, range(1, len(x) + 1) t(f) WHERE train GROUP BY ALL),
+  c{i} AS (SELECT *, sum(g) OVER a AS gl, sum(n) OVER a AS nl, sum(g) OVER b AS gt, sum(n) OVER b AS nt FROM v{i}
+    WINDOW a AS (PARTITION BY {key}, f ORDER BY v), b AS (PARTITION BY {key}, f)),
+  g{i} AS (SELECT *, gl * gl / nl + (gt - gl) * (gt - gl) / (nt - nl) - gt * gt / nt AS gain FROM c{i} WHERE nl < nt),
+  m{i} AS (SELECT *, gain >= max(gain) OVER (PARTITION BY {key}) * (1 - 1e-9) AS top FROM g{i}),
+  s{i} AS (SELECT * FROM m{i} WHERE top QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY f, v) = 1),
+  p{i} AS (SELECT p.* REPLACE (p.pred + {rate} * CASE WHEN p.x[s.f] <= s.v THEN s.gl / s.nl ELSE (s.gt - s.gl) / (s.nt - s.nl) END AS pred)
+    FROM p{i - 1} p JOIN s{i} s USING ({key}))"""
+    out = f"""SELECT 'gradient_boosting' AS model, series, split, fold, date,
+    CAST(row_number() OVER (PARTITION BY series, k ORDER BY date) AS INTEGER) AS h, {rnd_sql('y', 2)} AS actual,
+    {rnd_sql('pred', 2)} AS prediction, {rnd_sql('pred - y', 2)} AS residual FROM p{rounds} WHERE NOT train"""
+    return f"WITH {sql}", out
+
+
+_CODE = ", CAST(dense_rank() OVER (ORDER BY channel) AS DOUBLE)"
+_POOLED_STUMPS, _SERIES_STUMPS = _stumps_sql("k", _CODE), _stumps_sql("k, series", "")
+
+
+@query("gbt_stumps", " ".join(_POOLED_STUMPS))
+def _(spark, sf):
+    """Pooled boosting at depth one, where every step has a closed form."""
+    cfg, panel, spans = _boosted_panel(spark, sf)
+    return rounded(boosting.forecast_boosted(panel, cfg, spans, NUMERIC, params=STUMPS), 2)
+
+
+@query("gbt_series_stumps", " ".join(_SERIES_STUMPS))
+def _(spark, sf):
+    """The same, one model per series."""
+    cfg, panel, spans = _boosted_panel(spark, sf)
+    return rounded(boosting.forecast_boosted(panel, cfg, spans, NUMERIC, params=STUMPS, strategy="per_group"), 2)
+
+
 @query("gbt_global")
 def _(spark, sf):
     cfg, panel, spans = _boosted_panel(spark, sf)
-    return boosting.forecast_boosted(panel, cfg, spans[:1], NUMERIC, params=SMALL, early_stopping=0.15)
+    return boosting.forecast_boosted(panel, cfg, spans, NUMERIC, early_stopping=0.15)
 
 
 @query("gbt_per_group")
 def _(spark, sf):
     cfg, panel, spans = _boosted_panel(spark, sf)
-    return boosting.forecast_boosted(panel, cfg, spans[:1], NUMERIC, params=SMALL, strategy="per_group")
+    return boosting.forecast_boosted(panel, cfg, spans, NUMERIC, strategy="per_group")
 
 
 @query("gbt_tuning")
 def _(spark, sf):
+    """Nine draws from the whole search space over all folds; two thirds leave at 6 trees, the rest are told apart at 18."""
     cfg, panel, spans = _boosted_panel(spark, sf)
-    space = {**boosting.SPACE, "max_iter": (4, 8, 4), "max_depth": (2, 3)}
-    return boosting.tune(panel, cfg, spans[1:3], NUMERIC, boosting.draw_parameters(2, space=space))
+    folds = [s for s in spans if s["split"] == "backtest"]
+    return boosting.tune(panel, cfg, folds, NUMERIC, boosting.draw_parameters(9), early_stopping=0.15, rungs=(6, 18))
 
 
-@query("feature_importance")
+@query(
+    "feature_importance",
+    f"""{_POOLED_STUMPS[0]}, a AS (SELECT f, gain FROM s1 WHERE k = 0 UNION ALL SELECT f, gain FROM s2 WHERE k = 0 UNION ALL SELECT f, gain FROM s3 WHERE k = 0)
+    SELECT n.feature, {rnd_sql('coalesce(sum(a.gain), 0) / (SELECT sum(gain) FROM a)')} AS importance
+    FROM (SELECT unnest(['calendar_month', 'calendar_quarter', 'calendar_year', 'days_since_start', 'channel']) AS feature, unnest(range(1, 6)) AS f) n
+    LEFT JOIN a USING (f) GROUP BY ALL""",
+)
 def _(spark, sf):
     cfg, panel, spans = _boosted_panel(spark, sf)
-    train = panel.filter(F.col("date") <= F.lit(spans[0]["train_end"]))
-    encoder, model = boosting.fit_boosted(train, cfg, NUMERIC, ["channel"], SMALL)
-    return boosting.feature_importance(encoder, model, panel)
+    encoded = boosting.encode(panel, cfg, spans[:1], NUMERIC, ["channel"])
+    model = boosting.fit_pooled(encoded, [boosting.tree_params(STUMPS)])[0, 0]
+    return rounded(boosting.feature_importance(encoded, model, panel))
 
 
 @query(

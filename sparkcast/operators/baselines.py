@@ -7,7 +7,7 @@ Histories hold one value per period; their size is bounded by time, not by the n
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -186,11 +186,17 @@ def forecast_series(slices: DataFrame, models: Sequence[SeriesModel]) -> DataFra
     )
 
 
-def skipped_series(slices: DataFrame, models: Sequence[SeriesModel] | Mapping[str, SeriesModel]) -> DataFrame:
-    """Series left out of a model, with the reason."""
-    runs = F.array(*[F.struct(F.lit(m.name).alias("model"), m.skip_reason().alias("reason")) for m in models])
+def skipped_series(
+    slices: DataFrame, models: Sequence[SeriesModel], others: Sequence[tuple[str, Column]] = ()
+) -> DataFrame:
+    """Series left out of a model, with the reason. `others` are names of further models with their reason as a column."""
+    reasons = [(m.name, m.skip_reason()) for m in models] + list(others)
+    runs = F.array(*[F.struct(F.lit(name).alias("model"), reason.alias("reason")) for name, reason in reasons])
     return (
-        slices.select("series", "split", "fold", F.size("train").alias("history"), F.explode(runs).alias("_r"))
+        slices.select(
+            "series", "split", "fold", F.size("train").alias("history"),
+            F.explode(runs.cast("array<struct<model:string,reason:string>>")).alias("_r"),
+        )
         .filter(F.col("_r.reason").isNotNull())
         .select(F.col("_r.model").alias("model"), "series", "split", "fold", "history", F.col("_r.reason").alias("reason"))
     )

@@ -1,73 +1,98 @@
-"""Exact quantiles of groups of any size.
+"""Exact quantiles of any number of groups of any size, by radix descent.
 
-`percentile` and `median` keep every distinct value of a group in one task. Here a bounded sketch
-first brackets the wanted rank; only values inside the bracket are then counted and ordered. Values
-outside it shrink to one counter per group on the map side, so no group is ever held whole.
+`percentile` and `median` keep every distinct value of a group in one task. Here a number becomes a whole number of 64 bits
+in the same order (sign, exponent, fraction), and the wanted ranks descend through it. The first scan counts values by group
+and leading 32 bits, the second, only of values that share them with a wanted rank, by the trailing 32; both combine before
+the shuffle. Within the counts a rank goes down 16 bits at a time, so a running sum never has more than 65,536 steps,
+whatever the spread and number of the values. No group or bracket of values is held or ordered in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkcast.functions.numbers import is_finite
+from sparkcast.session import materialize
 
-ACCURACY = 10000
+HALF, STEP = 32, 16
+_FRACTION = 2.0**52
+_SMALLEST_NORMAL = 2.0**-1022
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], accuracy: int = ACCURACY
-) -> DataFrame:
-    """Interpolated quantiles as columns, for few groups (columns, models, folds) of unbounded size.
+def with_bits(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Add a finite double as a long in the same order; both zeros are 0. The exponent comes from the logarithm, and where that
+    rounds the fraction falls outside [1, 2) and moves it by one; all else is exact. Steps are columns, so that each is worked out once."""
+    kept = [f"`{c}`" for c in df.columns]
+    out = df.selectExpr("*", f"least(floor(log2(greatest(abs({value}), {_SMALLEST_NORMAL}D))), 1023L) AS _power")
+    out = out.selectExpr("*", f"abs({value}) / pow(2D, _power) AS _part")
+    fraction = "CASE WHEN _part < 1 THEN 2 * _part - 2 WHEN _part >= 2 THEN _part / 2 ELSE _part - 1 END"
+    # below the smallest normal number: multiples of the smallest number there is
+    size = (
+        f"CASE WHEN abs({value}) < {_SMALLEST_NORMAL}D THEN cast(abs({value}) * {2.0**537}D * {2.0**537}D AS long) "
+        f"ELSE shiftleft(_power + 1023L, 52) + cast({_FRACTION}D * {fraction} AS long) END"
+    )
+    return out.selectExpr(*kept, f"if({value} < 0, -1L, 1L) * ({size}) AS {name}")
 
-    Groups of up to `4 * accuracy` values need no bracket and are counted whole.
-    """
-    keys = list(keys)
-    v = F.col(value).cast("double")
-    base = df.select(*keys, v.alias("_v")).filter(is_finite(F.col("_v")))
-    # A sketch quantile is off by at most n / accuracy ranks; twice that is a safe margin.
-    margin = 2.0 / accuracy
-    edges = [edge for p in probabilities.values() for edge in (max(0.0, p - margin), min(1.0, p + margin))]
-    sketch = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_edges")
+
+def from_bits(bits: Column) -> Column:
+    """The double that `with_bits` was given."""
+    size = F.abs(bits)
+    exponent, fraction = F.shiftright(size, 52), size.bitwiseAND(F.lit((1 << 52) - 1)).cast("double")
+    value = F.when(exponent == 0, fraction * 2.0**-537 * 2.0**-537).otherwise(
+        (fraction / _FRACTION + 1) * F.pow(F.lit(2.0), (exponent - 1023).cast("double"))
+    )
+    return F.when(bits < 0, -value).otherwise(value)
+
+
+def _descend(counts: DataFrame, ranks: DataFrame) -> DataFrame:
+    """The bin of every rank. `counts`: k, prefix, bin, c; `ranks`: k, n, prefix, t, rest (values below the rank within the prefix).
+    Gives k, n, prefix, t, bin and the rest within the bin."""
+    top = counts.withColumn("top", F.shiftright("bin", STEP))
+    coarse = top.groupBy("k", "prefix", "top").agg(F.sum("c").alias("c"))
+    coarse = coarse.withColumn("through", F.sum("c").over(Window.partitionBy("k", "prefix").orderBy("top")))
+    picked = coarse.withColumnsRenamed({"k": "k_", "prefix": "prefix_"}).join(
+        ranks, (F.col("k") == F.col("k_")) & (F.col("prefix") == F.col("prefix_")) & (F.col("rest") < F.col("through")) & (F.col("rest") >= F.col("through") - F.col("c"))
     )
-    if keys:
-        # One row per group and the groups are few: this side is small whatever the data.
-        side = sketch.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_n", "_edges")
-        condition = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys))
-        placed = base.join(F.broadcast(side), condition)
-    else:
-        placed = base.withColumn("_s", sketch.select(F.struct("_n", "_edges")).scalar()).select(
-            "_v", "_s._n", "_s._edges"
-        )
-    v, n = F.col("_v"), F.col("_n")
-    brackets = [(F.col("_edges")[2 * i], F.col("_edges")[2 * i + 1]) for i in range(len(probabilities))]
-    inside = reduce(lambda a, b: a | b, (v.between(low, high) for low, high in brackets), n <= 4 * accuracy)
-    # Values between two brackets only count; they form one block, placed by its smallest value.
-    block = reduce(lambda a, b: a + b, ((v > high).cast("int") for _, high in brackets))
-    counted = (
-        placed.select(*keys, "_n", "_v", inside.alias("_in"), block.alias("_block"))
-        .groupBy(*keys, "_in", F.when(F.col("_in"), v).alias("_exact"), F.when(~F.col("_in"), F.col("_block")).alias("_gap"))
-        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_at"), F.max("_n").alias("_n"))
+    picked = picked.select("k", "n", "prefix", "t", "top", (F.col("rest") - F.col("through") + F.col("c")).alias("rest"))
+    fine = top.withColumnsRenamed({"k": "k_", "prefix": "prefix_", "top": "top_"}).join(
+        picked, (F.col("k") == F.col("k_")) & (F.col("prefix") == F.col("prefix_")) & (F.col("top") == F.col("top_"))
     )
-    running = Window.partitionBy(*keys).orderBy("_at") if keys else Window.orderBy("_at")
-    ranked = counted.withColumn("_through", F.sum("_c").over(running))
+    fine = fine.withColumn("through", F.sum("c").over(Window.partitionBy("k", "t").orderBy("bin")))
+    return fine.filter("rest < through and rest >= through - c").select("k", "n", "prefix", "t", "bin", (F.col("rest") - F.col("through") + F.col("c")).alias("rest"))
 
-    def at_rank(rank: Column) -> Column:
-        return F.min(F.when(F.col("_in") & (F.col("_through") > rank), F.col("_at")))
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles as columns, one row per group that holds a finite number. Groups of null keys are groups too.
+
+    The first scan runs at once; its ranks (two per group and probability) are written, so that their size is known to the join of the second."""
+    keys = list(keys)
+    v = F.col(f"`{value}`").cast("double")
+    group = F.struct(*[F.col(f"`{k}`") for k in keys]) if keys else F.struct(F.lit(0).alias("_all"))
+    base = with_bits(df.select(group.alias("k"), v.alias("v")).filter(is_finite(F.col("v"))), "v", "u").select("k", "u")
 
     ends = []
-    for name, p in probabilities.items():
-        rank = (n - 1) * F.lit(float(p))
-        ends += [at_rank(F.floor(rank)).alias(f"_a_{name}"), at_rank(F.ceil(rank)).alias(f"_b_{name}")]
-    picked = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *ends)
-
-    def interpolated(name: str, p: float) -> Column:
-        rank = (n - 1) * F.lit(float(p))
-        low, high = F.col(f"_a_{name}"), F.col(f"_b_{name}")
+    for i, p in enumerate(probabilities.values()):
+        rank = (F.col("n") - 1) * F.lit(float(p))
+        ends += [F.struct(F.lit(2 * i + j).alias("t"), f(rank).cast("long").alias("rest")) for j, f in enumerate((F.floor, F.ceil))]
+    none = F.lit(0).cast("long")
+    counts = base.groupBy("k", none.alias("prefix"), F.shiftright("u", HALF).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    ranks = counts.groupBy("k").agg(F.sum("c").alias("n")).select("k", "n", none.alias("prefix"), F.explode(F.array(*ends)).alias("r")).select("k", "n", "prefix", "r.*")
+    first = materialize(_descend(counts, ranks).select("k", "n", F.col("bin").alias("prefix"), "t", "rest"), "radix-ranks")
+
+    kept = first.select(F.col("k").alias("k_"), "prefix").distinct()
+    rows = base.join(kept, (F.col("k") == F.col("k_")) & (F.shiftright("u", HALF) == F.col("prefix")))
+    counts = rows.groupBy("k", "prefix", F.col("u").bitwiseAND(F.lit((1 << HALF) - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    found = _descend(counts, first).withColumn("u", F.shiftleft("prefix", HALF).bitwiseOR(F.col("bin")))
+    wide = found.groupBy("k").agg(
+        F.max("n").alias("_n"), *[F.max(F.when(F.col("t") == t, F.col("u"))).alias(f"_{t}") for t in range(len(ends))]
+    )
+
+    def interpolated(i: int, name: str, p: float) -> Column:
+        rank = (F.col("_n") - 1) * F.lit(float(p))
+        low, high = from_bits(F.col(f"_{2 * i}")), from_bits(F.col(f"_{2 * i + 1}"))
         return (low + (high - low) * (rank - F.floor(rank))).alias(name)
 
-    return picked.select(*keys, *[interpolated(name, p) for name, p in probabilities.items()])
+    return wide.select(*[F.col("k")[k].alias(k) for k in keys], *[interpolated(i, name, p) for i, (name, p) in enumerate(probabilities.items())])

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkcast.operators.baselines import TOO_SHORT, expand_predictions
@@ -148,7 +148,8 @@ def _fitter(model: str, season: int):
     return fit
 
 
-def _reason(model: str, season: int):
+def skip_reason(model: str, season: int) -> Column:
+    """Why a model cannot be fitted on `train`; null when it can."""
     n = F.size("train")
     return F.when(n < 2, TOO_SHORT).when(
         n < _needed(model, season), "Insufficient history for two seasonal cycles"
@@ -167,7 +168,7 @@ def smoothing_fits(slices: DataFrame, models: Sequence[str], season: int) -> Dat
         *[
             F.struct(
                 F.lit(m).alias("model"), F.col(f"{m}.values").alias("values"), F.col(f"{m}.weights").alias("weights"),
-                F.col(f"{m}.sse").alias("sse"), _reason(m, season).alias("reason"),
+                F.col(f"{m}.sse").alias("sse"), skip_reason(m, season).alias("reason"),
             )
             for m in models
         ]

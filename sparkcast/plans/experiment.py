@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -20,12 +21,16 @@ from sparkcast.config import (
     seasonal_period,
 )
 from sparkcast.operators import baselines, evaluate, smoothing
-from sparkcast.operators.boosting import forecast_boosted
+from sparkcast.operators.boosting import SPACE, TRIALS, draw_parameters, forecast_boosted, tune
+from sparkcast.operators.evaluate import metric_columns
 from sparkcast.operators.features import safe_boosted_features, safe_linear_features, target_copies
 from sparkcast.operators.linear import collect_windows, forecast_linear
 from sparkcast.operators.splits import evaluation_windows, split_bounds
 from sparkcast.session import materialize
 
+# Share of the training dates that decides when boosting stops.
+EARLY_STOPPING = 0.15
+
 
 @dataclass(frozen=True)
 class ExperimentResult:
@@ -36,6 +41,7 @@ class ExperimentResult:
     skipped: DataFrame
     test_metrics: DataFrame
     statuses: DataFrame
+    trials: DataFrame
 
 
 def safe_features(
@@ -70,7 +76,7 @@ def forecast_families(
     boosted_features: Sequence[str] | None = None,
     final_test: bool = False,
     models: Sequence[str] | None = None,
-) -> tuple[list[tuple[list[str], Callable[[], DataFrame]]], DataFrame]:
+) -> tuple[list[tuple[list[str], Callable[[Sequence[str]], DataFrame]]], DataFrame]:
     """(models, predictions to be made) of each family that shares a pass, and the slices of all windows.
 
     With `final_test` the only window is the test, trained on everything before it.
@@ -89,16 +95,42 @@ def forecast_families(
             slices, baselines.baseline_models(own, season, forecast.moving_average_windows))),
         (SMOOTHING_MODELS, lambda own: smoothing.forecast_smoothing(slices, own, season)),
         (LINEAR_MODELS, lambda own: forecast_linear(panel, cfg, spans(), linear, own)),
-        (BOOSTED_MODELS, lambda own: forecast_boosted(panel, cfg, spans(), boosted, early_stopping=0.15)),
+        (BOOSTED_MODELS, lambda own: forecast_boosted(
+            panel, cfg, spans(), boosted, params=forecast.boosted_params, early_stopping=EARLY_STOPPING,
+            strategy=forecast.boosted_strategy, seed=forecast.boosted_seed)),
     )
     families = []
     for known, make in makers:
         own = [m for m in wanted if m in known]
         if own:
-            families.append((own, lambda make=make, own=own: make(own)))
+            families.append((own, make))
     return families, slices
 
 
+def tuned(
+    panel: DataFrame, cfg: PreparationConfig, forecast: ForecastConfig, features: Sequence[str]
+) -> tuple[ForecastConfig, DataFrame]:
+    """The configuration with the best boosted parameters found on the backtest folds, and the trials. The test is not read."""
+    windows = evaluation_windows(split_bounds(panel, cfg), cfg.backtest_folds, forecast.backtest_folds)
+    folds = [w for w in collect_windows(panel, windows) if w["split"] == "backtest"]
+    metric = forecast.selection_metric if forecast.selection_metric in metric_columns() else "wape"
+    drawn = draw_parameters(forecast.boosted_trials, forecast.boosted_seed, forecast.boosted_space or SPACE)
+    trials = tune(panel, cfg, folds, features, drawn, metric, EARLY_STOPPING, forecast.boosted_rungs, forecast.boosted_seed)
+    best = trials.filter("status = 'completed'").orderBy("metric", "trial").first()
+    return replace(forecast, boosted_params=json.loads(best["parameters"]), boosted_trials=0), trials
+
+
+def _attempt(own: Sequence[str], make: Callable[[Sequence[str]], DataFrame]) -> tuple[list[DataFrame], list[tuple]]:
+    """Written predictions and statuses of models that share a pass. Where the pass fails, each model is tried by itself."""
+    try:
+        return [materialize(make(own), "predictions")], [(m, "completed", None) for m in own]
+    except (ValueError, PySparkException) as e:
+        if len(own) == 1:
+            return [], [(own[0], "failed", str(e).split("\n", 1)[0])]
+    tried = [_attempt([m], make) for m in own]
+    return [p for parts, _ in tried for p in parts], [s for _, statuses in tried for s in statuses]
+
+
 def run_experiment(
     panel: DataFrame,
     cfg: PreparationConfig,
@@ -108,22 +140,30 @@ def run_experiment(
 ) -> ExperimentResult:
     """Everything in the order that keeps the test set unseen: the test is scored for the winner only.
 
-    The panel and the predictions are written once to the shared folder, as many steps read them. Families of models
-    are written one by one: where one cannot be fitted, its models are marked failed and the others go on.
+    The panel and the predictions are written once to the shared folder, as many steps read them. Models that share a pass
+    are written together; where that fails they are tried one by one, and those that fail are marked and the others go on. With
+    `boosted_trials` the boosted parameters are searched on the backtest folds first.
     """
     stored = materialize(panel, "panel")
     linear, boosted = safe_features(stored, cfg, features, catalog)
     if forecast.linear_features:
         own, _ = safe_features(stored, cfg, forecast.linear_features, catalog)
         forecast = replace(forecast, linear_features=tuple(own))
-    families, slices = forecast_families(stored, cfg, forecast, linear, boosted)
     parts, statuses = [], []
-    for own, make in families:
+    trials = panel.sparkSession.createDataFrame([], TRIALS)
+    if forecast.boosted_trials and set(forecast.models) & set(BOOSTED_MODELS):
         try:
-            parts.append(materialize(make(), "predictions"))
-            statuses += [(m, "completed", None) for m in own]
+            forecast, trials = tuned(stored, cfg, forecast, boosted)
         except (ValueError, PySparkException) as e:
-            statuses += [(m, "failed", str(e).split("\n", 1)[0]) for m in own]
+            statuses += [(m, "failed", str(e).split("\n", 1)[0]) for m in BOOSTED_MODELS]
+    searched = {m for m, _, _ in statuses}
+    families, slices = forecast_families(
+        stored, cfg, forecast, linear, boosted, models=[m for m in forecast.models if m not in searched]
+    )
+    for own, make in families:
+        made, noted = _attempt(own, make)
+        parts += made
+        statuses += noted
     if not parts:
         raise ValueError(f"No model could be fitted: {statuses}")
     predictions = reduce(DataFrame.unionByName, parts)
@@ -138,12 +178,15 @@ def run_experiment(
     name = winner["model"]
     base = "moving_average" if name.startswith("moving_average_") else name
     last, test_slices = forecast_families(stored, cfg, forecast, linear, boosted, final_test=True, models=[base])
-    test = last[0][1]().filter(F.col("model") == name)
+    own, make = last[0]
+    test = make(own).filter(F.col("model") == name)
     chosen = baselines.baseline_models(
         [m for m in forecast.models if m in BASELINE_MODELS], season, forecast.moving_average_windows
     )
+    smoothed = [(m, smoothing.skip_reason(m, season)) for m in forecast.models if m in SMOOTHING_MODELS]
     return ExperimentResult(
-        predictions, metrics, backtest, ranking, baselines.skipped_series(slices, chosen),
+        predictions, metrics, backtest, ranking, baselines.skipped_series(slices, chosen, smoothed),
         evaluate.metrics(test, scales=scale(test_slices, season), epsilon=forecast.epsilon),
         panel.sparkSession.createDataFrame(statuses, "model string, status string, reason string"),
+        trials,
     )

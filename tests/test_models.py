@@ -133,7 +133,7 @@ def test_boosted_needs_enough_rows(spark, two_groups):
     rows = add_trend(two_groups, CFG)
     out = boosting.forecast_boosted(rows, CFG, spans[:1], ["days_since_start"], params={"max_iter": 3, "max_depth": 2})
     assert out.count() == 18 and out.filter("prediction is null").count() == 0
-    tiny = rows.filter("g = 'A' or date < '2026-01-05'")
+    tiny = rows.filter("g = 'A' or date < '2026-01-05' or date > '2026-02-10'")
     with pytest.raises(boosting.BoostingError):
         boosting.forecast_boosted(tiny, CFG, spans[:1], ["days_since_start"], strategy="per_group")
 
@@ -174,5 +174,43 @@ def test_a_failing_family_does_not_end_the_experiment(spark, two_groups, monkeyp
     result = run_experiment(two_groups, cfg, ForecastConfig(models=("drift", "ridge_regression"), backtest_folds=2))
     status = {r["model"]: (r["status"], r["reason"]) for r in result.statuses.collect()}
     assert status == {"drift": ("completed", None), "ridge_regression": ("failed", "singular")}
+    assert result.trials.count() == 0
     tested = result.test_metrics.first()
     assert tested["model"] == "drift" and tested["mase"] is not None
+
+
+def test_one_failing_model_leaves_its_family(spark, two_groups, monkeypatch):
+    whole = linear.forecast_linear
+
+    def fails(panel, cfg, windows, features, models, *rest):
+        if "ridge_regression" in models:
+            raise ValueError("ill-conditioned")
+        return whole(panel, cfg, windows, features, models, *rest)
+
+    monkeypatch.setattr("sparkcast.plans.experiment.forecast_linear", fails)
+    cfg = replace(CFG, backtest_folds=2)
+    wanted = ForecastConfig(models=("linear_regression", "ridge_regression"), backtest_folds=2)
+    result = run_experiment(add_trend(two_groups, cfg), cfg, wanted, ["days_since_start"])
+    status = {r["model"]: r["status"] for r in result.statuses.collect()}
+    assert status == {"linear_regression": "completed", "ridge_regression": "failed"}
+    assert [r["model"] for r in result.ranking.collect()] == ["linear_regression"]
+
+
+def test_experiment_tunes_boosted_models(spark, two_groups):
+    """Parameters are searched on the folds; the search, the fits and the ranking never read the test rows."""
+    cfg = replace(CFG, backtest_folds=2)
+    rows = add_trend(two_groups, cfg)
+    wanted = ForecastConfig(models=("naive_last", "gradient_boosting"), backtest_folds=2, boosted_trials=3, boosted_rungs=(2, 4),
+                            boosted_space={**boosting.SPACE, "max_iter": (4, 6, 2), "max_depth": (1, 3)})
+    last = rows.agg(F.max("date")).first()[0]
+    start = evaluate_test_start(rows, cfg)
+    results = []
+    for frame in (rows, rows.withColumn("y", F.when(F.col("date") >= F.lit(start), -9e9).otherwise(F.col("y")))):
+        result = run_experiment(frame, cfg, wanted, ["days_since_start"])
+        results.append((result.trials.orderBy("trial").collect(), result.ranking.orderBy("rank").select("model", "selection_score").collect()))
+    assert results[0] == results[1] and len(results[0][0]) == 3 and last > start
+    assert {r["model"] for r in results[0][1]} == {"naive_last", "gradient_boosting"}
+
+
+def evaluate_test_start(panel, cfg):
+    return split_bounds(panel, cfg).select("test_start").first()[0]
