@@ -201,18 +201,67 @@ def _(spark, sf):
     return rounded(rounded(out, 4, "actual"), 2, "prediction")
 
 
+def _solve_sql(source: str, size: int) -> str:
+    """Elimination of the system a_i_j (last column the right side), a row per window: step p clears column p in all other rows."""
+    steps, last = [], source
+    for p in range(size):
+        kept = [
+            f"a_{i}_{j}" + ("" if i == p else f" - a_{i}_{p} * a_{p}_{j} / a_{p}_{p} AS a_{i}_{j}")
+            for i in range(size) for j in range(p + 1, size + 1)
+        ]
+        kept += [f"a_{i}_{i}" for i in range(p + 1)]
+        steps.append(f"{source}{p} AS (SELECT k, {', '.join(kept)} FROM {last})")
+        last = f"{source}{p}"
+    return ", ".join(steps) + f", beta AS (SELECT k, [{', '.join(f'a_{i}_{size} / a_{i}_{i}' for i in range(size))}] AS b FROM {last})"
+
+
+# days since the start are seven times the periods of a weekly panel, so without a penalty one of the two is enough
+_PLAIN = ["year(date)", "quarter(date)", "month(date)", "week(date)", "sin(2 * pi() * month(date) / 12)", "cos(2 * pi() * month(date) / 12)",
+          "row_number() OVER (PARTITION BY channel ORDER BY date) - 1"]
+_DAYS = "date_diff('day', min(date) OVER (PARTITION BY channel), date)"
+
+
+def _pooled_sql(model: str) -> str:
+    """Group effects eliminated, then the slopes by elimination; without a penalty everything is centred within groups."""
+    ridge = model == "ridge_regression"
+    names = [*_PLAIN, _DAYS] if ridge else _PLAIN
+    n = len(names)
+    x = [f"x{i}" for i in range(n)]
+    sql = f"""WITH {WEEKLY_SQL}, {windows_sql('weekly')},
+  ft AS (SELECT channel AS series, date, revenue AS y, {', '.join(f'CAST({e} AS DOUBLE) AS {v}' for v, e in zip(x, names, strict=True))} FROM weekly),
+  r AS (SELECT coalesce(w.fold, 0) AS k, w.split, w.fold, ft.*, date <= w.train_end AS train FROM ft JOIN win w ON date BETWEEN w.train_start AND w.validation_end),
+  f AS (SELECT k, avg(y) AS m_y, {', '.join(f'avg({v}) AS m_{v}, coalesce(nullif(stddev_pop({v}), 0), 1) AS d_{v}' for v in x)} FROM r WHERE train GROUP BY k),
+  z AS (SELECT k, split, fold, series, date, train, y - m_y AS t, m_y, 1e0 AS z0, {', '.join(f'({v} - m_{v}) / d_{v} AS z{i + 1}' for i, v in enumerate(x))} FROM r JOIN f USING (k)),
+  g AS (SELECT k, series, sum(t) AS s_t, {', '.join(f'sum(z{i}) AS s{i}' for i in range(n + 1))} FROM z WHERE train GROUP BY ALL)"""
+    first, penalty = (0, 1) if ridge else (1, 0)
+    z = [f"z{i}" for i in range(first, n + 1)] + ["t"]
+    s_ = [f"s{i}" for i in range(first, n + 1)] + ["s_t"]
+    cells = [(i, j) for i in range(len(z) - 1) for j in range(len(z))]
+    sql += f""",
+  c AS (SELECT k, {', '.join(f'sum({z[i]} * {z[j]}) AS c_{i}_{j}' for i, j in cells)} FROM z WHERE train GROUP BY k),
+  e AS (SELECT k, {', '.join(f'sum({s_[i]} * {s_[j]} / (s0 + {penalty})) AS e_{i}_{j}' for i, j in cells)} FROM g GROUP BY k),
+  a AS (SELECT k, {', '.join(f'c_{i}_{j} - e_{i}_{j}' + (' + 1' if ridge and i == j and i > 0 else '') + f' AS a_{i}_{j}' for i, j in cells)} FROM c JOIN e USING (k)),
+  {_solve_sql('a', len(z) - 1)}"""
+    line = " + ".join(f"b[{i + 1}] * z{i + first}" for i in range(len(z) - 1))
+    rest = " + ".join(f"b[{i + 1}] * s{i + first}" for i in range(len(z) - 1))
+    pred = f"m_y + {line} + (s_t - ({rest})) / (s0 + {penalty})"
+    return sql + f""" SELECT '{model}' AS model, series, split, fold, date, CAST(row_number() OVER (PARTITION BY series, k ORDER BY date) AS INTEGER) AS h,
+    {rnd_sql('t + m_y', 2)} AS actual, {rnd_sql(pred, 2)} AS prediction, {rnd_sql(f'{pred} - t - m_y', 2)} AS residual
+    FROM z JOIN beta USING (k) JOIN g USING (k, series) WHERE NOT train"""
+
+
 def _pooled(spark, sf, model):
     panel = weekly(spark, sf)
     spans = linear.collect_windows(panel, windows(panel, WEEKLY))
     return linear.forecast_linear(featured(panel, WEEKLY), WEEKLY, spans, CALENDAR, [model])
 
 
-@query("fc_linear")
+@query("fc_linear", _pooled_sql("linear_regression"))
 def _(spark, sf):
     return rounded(_pooled(spark, sf, "linear_regression"), 2)
 
 
-@query("fc_ridge")
+@query("fc_ridge", _pooled_sql("ridge_regression"))
 def _(spark, sf):
     return rounded(_pooled(spark, sf, "ridge_regression"), 2)
 

@@ -1,7 +1,10 @@
 """Linear and ridge regression pooled over series, fitted for every evaluation window at once.
 
-One pass over the panel adds up cross products per partition and window. They are summed in two
-steps and each window solves one small system. Predictions are plain column arithmetic.
+One categorical column, the one with most categories (usually the series), never becomes columns of the system: its effects are
+eliminated exactly. With sums s_g and counts n_g of each category, the system for intercept and slopes is
+X'X + aI - sum of s_g s_g' / (n_g + a), and each effect follows from its own sums, so any number of series has a coefficient
+of its own. Categories of further columns are columns of the system. Values are shifted by the window's means before they are
+multiplied; medians, means and categories come from the window's own training rows. One matrix per window reaches the driver.
 """
 
 from __future__ import annotations
@@ -19,119 +22,20 @@ from sparkcast.config import PreparationConfig
 from sparkcast.functions.numbers import is_finite
 from sparkcast.functions.text import group_label
 from sparkcast.operators.baselines import PREDICTION_COLUMNS
-from sparkcast.operators.encoding import INFREQUENT, MAX_CATEGORIES, category_counts, frequent_categories
+from sparkcast.operators.encoding import frequent_categories
 from sparkcast.operators.quantiles import exact_quantiles
+from sparkcast.session import materialize
 
 CUTOFF = 1e-11
-PARTIAL = "window int, bucket int, cross array<double>"
-MODEL = "window int, intercept double, slopes array<double>, rows double"
+GRAM = "window int, kind int, bucket int, cross array<double>"
 
 
 def collect_windows(panel: DataFrame, windows: Column) -> list[dict[str, Any]]:
-    """Evaluation windows as plain values: at most fourteen."""
+    """Evaluation windows as plain values: one row per fold and split."""
     rows = panel.sparkSession.range(1).select(windows.alias("w")).first()["w"]
     return [{"window": i, **r.asDict()} for i, r in enumerate(rows)]
 
 
-def _window_table(df: DataFrame, windows: Sequence[dict[str, Any]]) -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(w["window"]).alias("window"),
-                F.lit(w["split"]).alias("split"),
-                F.lit(w["fold"]).cast("int").alias("fold"),
-                *[F.lit(w[k]).alias(k) for k in ("train_start", "train_end", "validation_start", "validation_end")],
-            )
-            for w in windows
-        ]
-    )
-
-
-def fill_numeric(panel: DataFrame, numeric: Sequence[str], date: str, windows: Sequence[dict[str, Any]]) -> DataFrame:
-    """Fill gaps of numeric features with the median of the longest training span.
-
-    Features without gaps, such as calendar and trend, cost one counting pass and nothing else.
-    """
-    if not numeric:
-        return panel
-    counts = panel.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in numeric]).first()
-    gaps = [c for c in numeric if counts[c] < counts["_n"]]
-    if not gaps:
-        return panel
-    until = min(w["train_end"] for w in windows)
-    train = panel.filter(F.col(date).cast("date") <= F.lit(until))
-    long = train.select(*[F.col(c).cast("double").alias(c) for c in gaps]).unpivot([], gaps, "name", "value")
-    medians = exact_quantiles(long, ["name"], "value", {"m": 0.5})
-    row = medians.agg(F.struct(*[F.max(F.when(F.col("name") == c, F.col("m"))).alias(c) for c in gaps])).scalar()
-    return panel.withColumn("_m", row).withColumns({c: F.coalesce(F.col(c).cast("double"), f"_m.{c}") for c in gaps}).drop("_m")
-
-
-def vocabulary(
-    panel: DataFrame, categorical: Sequence[str], date: str, windows: Sequence[dict[str, Any]]
-) -> list[tuple[str, str]]:
-    """(column, category) pairs with a coefficient of their own, at most a hundred per column."""
-    if not categorical:
-        return []
-    until = max(w["train_end"] for w in windows)
-    train = panel.filter(F.col(date).cast("date") <= F.lit(until))
-    terms: list[tuple[str, str]] = []
-    for c in categorical:
-        kept = frequent_categories(train, c, MAX_CATEGORIES)
-        terms += [(c, k) for k in kept]
-        if len(kept) == MAX_CATEGORIES - 1 and category_counts(train, c).count() > MAX_CATEGORIES:
-            terms.append((c, INFREQUENT))
-    return terms
-
-
-def cross_products(
-    panel: DataFrame,
-    cfg: PreparationConfig,
-    numeric: Sequence[str],
-    terms: Sequence[tuple[str, str]],
-    windows: Sequence[dict[str, Any]],
-) -> DataFrame:
-    """Sums of [1, x, y] x [1, x, y] over the training rows of each window."""
-    numeric, terms = list(numeric), list(terms)
-    categorical = list(dict.fromkeys(c for c, _ in terms))
-    size = len(numeric) + len(terms) + 2
-    spans = [(w["window"], np.datetime64(w["train_start"]), np.datetime64(w["train_end"])) for w in windows]
-    rows = panel.select(
-        F.col(cfg.date_column).cast("date").alias("_day"),
-        F.col(cfg.target_column).cast("double").alias("_y"),
-        *[F.col(c).cast("double").alias(c) for c in numeric],
-        *[F.col(c).cast("string").alias(c) for c in categorical],
-    ).filter(is_finite(F.col("_y")))
-
-    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = {w: np.zeros((size, size)) for w, _, _ in spans}
-        for pdf in batches:
-            parts = [np.ones(len(pdf))] + [pdf[c].to_numpy(float) for c in numeric]
-            own = {c: {k for col, k in terms if col == c} for c in categorical}
-            for c, k in terms:
-                text = pdf[c]
-                hit = (text.notna() & ~text.isin(own[c])) if k == INFREQUENT else (text == k)
-                parts.append(hit.to_numpy(float))
-            parts.append(pdf["_y"].to_numpy(float))
-            x = np.column_stack(parts)
-            day = pd.to_datetime(pdf["_day"]).to_numpy().astype("datetime64[D]")
-            for w, start, end in spans:
-                part = x[(day >= start) & (day <= end)]
-                total[w] += part.T @ part
-        spread = TaskContext.get().partitionId() % 64  # the same when a lost task runs again
-        yield pd.DataFrame(
-            {"window": [w for w in total], "bucket": [int(spread)] * len(total), "cross": [m.ravel() for m in total.values()]}
-        )
-
-    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"window": [pdf["window"].iloc[0]], "bucket": [0], "cross": [np.sum(np.stack(pdf["cross"].to_list()), axis=0)]}
-        )
-
-    partial = rows.mapInPandas(add_up, PARTIAL)
-    halfway = partial.groupBy("window", "bucket").applyInPandas(combine, PARTIAL)
-    return halfway.groupBy("window").applyInPandas(combine, PARTIAL)
-
-
 def solve(cross: np.ndarray, scaled: Sequence[bool], alpha: float) -> tuple[float, np.ndarray, float]:
     """Intercept and slopes from cross products of [1, x, y]. The intercept is not penalised.
 
@@ -154,37 +58,115 @@ def solve(cross: np.ndarray, scaled: Sequence[bool], alpha: float) -> tuple[floa
     return float(mean_y - slopes @ means), slopes, float(n)
 
 
-def fit_linear(cross: DataFrame, numeric: int, terms: int, alpha: float = 0.0) -> DataFrame:
-    """One row of coefficients per window."""
-    scaled = [True] * numeric + [False] * terms
-    size = numeric + terms + 2
+def solve_with_effects(
+    cross: np.ndarray, weighted: np.ndarray, means: np.ndarray, unit: np.ndarray, alpha: float
+) -> tuple[float, np.ndarray]:
+    """Intercept and slopes beside effects of one categorical column that sum to zero (no penalty) or are penalised like slopes.
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        matrix = np.asarray(pdf["cross"].iloc[0], dtype=float).reshape(size, size)
-        if matrix[0, 0] < 2:
-            return pd.DataFrame({"window": [], "intercept": [], "slopes": [], "rows": []})
-        intercept, slopes, n = solve(matrix, scaled, alpha)
-        return pd.DataFrame(
-            {"window": [pdf["window"].iloc[0]], "intercept": [intercept], "slopes": [slopes], "rows": [n]}
-        )
+    All matrices are over [1, x, y]: `cross` adds up rows, `weighted` adds up s s' / (n + alpha) and `means` adds up
+    (s / n)(s / n)' over categories, s being the sums of [1, x, y] over the n rows of one. `unit` measures the slopes."""
+    p = len(unit)
+    if alpha > 0:
+        # effects are e_g = (sum over g of y - b - x slopes) / (n_g + alpha); what is left is a system for b and the slopes
+        scale = np.concatenate(([1.0], unit))
+        system = (cross - weighted)[:-1, :-1] / np.outer(scale, scale) + alpha * np.diag([0.0] + [1.0] * p)
+        found = np.linalg.solve(system, (cross - weighted)[:-1, -1] / scale) / scale
+        return float(found[0]), found[1:]
+    within = (cross - weighted)[1:, 1:]
+    # columns in units of their spread within categories; where that is only noise, of their whole spread
+    inner, whole = np.diag(within)[:-1], np.diag(cross)[1:-1]
+    size = np.sqrt(np.clip(np.where(inner > CUTOFF * whole, inner, whole), 0, None))
+    size = np.where(size > 0, size, 1.0)
+    values, vectors = np.linalg.eigh(within[:-1, :-1] / np.outer(size, size))
+    kept = values > CUTOFF * max(values.max(initial=0.0), 0.0)
+    slopes = vectors[:, kept] @ ((vectors[:, kept].T @ (within[:-1, -1] / size)) / values[kept]) / size
+    groups = means[0, 0]
+    centre = means[0, 1:] / groups
+    spread = means[1:, 1:] - groups * np.outer(centre, centre)
+    if (~kept).any():
+        # Directions that are constant within categories trade against the effects: take the solution of least norm over both.
+        free = vectors[:, ~kept] / size[:, None]
+        system = free.T @ free + free.T @ spread[:-1, :-1] @ free
+        slopes = slopes + free @ np.linalg.solve(system, free.T @ (spread[:-1, -1] - spread[:-1, :-1] @ slopes - slopes))
+    return float(centre[-1] - centre[:-1] @ slopes), slopes
+
+
+def _rows(
+    panel: DataFrame, cfg: PreparationConfig, windows: Sequence[dict[str, Any]], numeric: Sequence[str], categorical: Sequence[str]
+) -> DataFrame:
+    """Rows of each window under fixed names: window, split, fold, train, series, date, y, x0.., c0.."""
+    day = F.col(cfg.date_column).cast("date")
+    y = F.col(f"`{cfg.target_column}`").cast("double")
+    spans = []
+    for w in windows:
+        names = [F.lit(w["window"]).cast("int").alias("window"), F.lit(w["split"]).alias("split"), F.lit(w["fold"]).cast("int").alias("fold")]
+        for start, end, train in (("train_start", "train_end", True), ("validation_start", "validation_end", False)):
+            inside = day.between(F.lit(w[start]), F.lit(w[end])) & (is_finite(y) if train else F.lit(True))
+            spans.append(F.when(inside, F.struct(*names, F.lit(train).alias("train"))))
+    value = lambda c: F.when(is_finite(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double"))
+    return panel.select(
+        group_label(*[F.col(g) for g in cfg.group_columns]).alias("series"), day.alias("date"), y.alias("y"),
+        *[value(c).alias(f"x{i}") for i, c in enumerate(numeric)],
+        *[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(categorical)],
+        F.explode(F.array_compact(F.array(*spans))).alias("at"),
+    ).select("at.*", "series", "date", "y", *[f"x{i}" for i in range(len(numeric))], *[f"c{i}" for i in range(len(categorical))])
+
+
+def _by_window(values: dict[int, Any], default: Any, kind: str = "double") -> Column:
+    """A constant for each window, one row per fold and split."""
+    out = F.lit(default).cast(kind)
+    for w, v in values.items():
+        out = F.when(F.col("window") == w, F.lit(v).cast(kind)).otherwise(out)
+    return out
 
-    return cross.groupBy("window").applyInPandas(fit, MODEL)
 
+def _filled(rows: DataFrame, x: Sequence[str], c: Sequence[str]) -> DataFrame:
+    """Gaps take the median, of categories the most frequent one, of the window's training rows; without gaps this costs one counting pass."""
+    if not [*x, *c]:
+        return rows
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), *[F.count(v).alias(v) for v in (*x, *c)]).first()
+    gaps, holes = ([v for v in names if counts[v] < counts["n"]] for names in (x, c))
+    train = rows.filter("train")
+    fill: dict[str, dict[int, Any]] = {v: {} for v in (*gaps, *holes)}
+    if gaps:
+        long = train.select("window", *gaps).unpivot(["window"], gaps, "name", "value")
+        for r in exact_quantiles(long, ["window", "name"], "value", {"m": 0.5}).collect():
+            fill[r["name"]][r["window"]] = r["m"]
+    if holes:
+        known = train.select("window", *holes).unpivot(["window"], holes, "name", "category").filter("category is not null")
+        most = known.groupBy("window", "name", "category").count().groupBy("window", "name")
+        for r in most.agg(F.min_by("category", F.struct(-F.col("count"), F.col("category"))).alias("m")).collect():
+            fill[r["name"]][r["window"]] = r["m"]
+    # a column without any value in training is constant there
+    return rows.withColumns({v: F.coalesce(v, _by_window(fill[v], 0.0 if v in gaps else None, "double" if v in gaps else "string")) for v in fill})
+
+
+def _grams(rows: DataFrame, columns: Sequence[str], weights: Sequence[Column]) -> DataFrame:
+    """Sums of weight * v v' by window and kind of weight, v being the columns; added up per task, then in two steps."""
+    size, kinds = len(columns), len(weights)
+    given = rows.select("window", *columns, *[w.cast("double").alias(f"w_{k}") for k, w in enumerate(weights)])
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for pdf in batches:
+            for w, part in pdf.groupby("window", sort=False):
+                v = part[list(columns)].to_numpy(float)
+                for k in range(kinds):
+                    found = v.T @ (v * part[f"w_{k}"].to_numpy(float)[:, None])
+                    total[int(w), k] = total[int(w), k] + found if (int(w), k) in total else found
+        spread = TaskContext.get().partitionId() % 64  # the same when a lost task runs again
+        if total:
+            yield pd.DataFrame({"window": [w for w, _ in total], "kind": [k for _, k in total], "bucket": spread, "cross": [m.ravel() for m in total.values()]})
+
+    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.iloc[:1].assign(bucket=0, cross=[np.sum(np.stack(pdf["cross"].to_list()), axis=0).reshape(size * size)])
+
+    partial = given.mapInPandas(add_up, GRAM)
+    return partial.groupBy("window", "kind", "bucket").applyInPandas(combine, GRAM).groupBy("window", "kind").applyInPandas(combine, GRAM)
 
-def predict_linear(
-    holdout: DataFrame, models: DataFrame, numeric: Sequence[str], terms: Sequence[tuple[str, str]]
-) -> DataFrame:
-    """Add `prediction` to rows that carry a `window`. Unseen categories add nothing."""
-    value = F.col("intercept")
-    for i, c in enumerate(numeric):
-        value = value + F.col("slopes")[i] * F.col(c).cast("double")
-    for i, (c, k) in enumerate(terms, start=len(numeric)):
-        text = F.col(c).cast("string")
-        known = [t for col, t in terms if col == c and t != INFREQUENT]
-        hit = (text.isNotNull() & ~text.isin(*known)) if k == INFREQUENT else (text == k)
-        value = value + F.when(hit, F.col("slopes")[i]).otherwise(0.0)
-    # One row of coefficients per window, at most fourteen.
-    return holdout.join(F.broadcast(models), "window").withColumn("prediction", value)
+
+def _collected(grams: DataFrame, size: int) -> dict[tuple[int, int], np.ndarray]:
+    return {(r["window"], r["kind"]): np.array(r["cross"]).reshape(size, size) for r in grams.collect()}
 
 
 def forecast_linear(
@@ -195,36 +177,70 @@ def forecast_linear(
     models: Sequence[str] = ("linear_regression", "ridge_regression"),
     categorical: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Predictions of the linear models for every holdout row of every window."""
+    """Predictions of the linear models for every holdout row of every window. Categories that training does not hold add nothing."""
+    if not models:
+        raise ValueError("No linear model was asked for")
     categorical = list(cfg.group_columns if categorical is None else categorical)
     numeric = [f for f in features if f not in categorical]
     if not numeric and not categorical:
         raise ValueError("No safe linear features are available")
-    ready = fill_numeric(panel, numeric, cfg.date_column, windows)
-    terms = vocabulary(ready, categorical, cfg.date_column, windows)
-    cross = cross_products(ready, cfg, numeric, terms, windows)
-    day = F.col(cfg.date_column).cast("date")
-    inside = F.filter(
-        "_windows", lambda w: (day >= w["validation_start"]) & (day <= w["validation_end"])
+    x, c = [f"x{i}" for i in range(len(numeric))], [f"c{i}" for i in range(len(categorical))]
+    rows = _filled(_rows(panel, cfg, windows, numeric, categorical), x, c)
+    train = rows.filter("train")
+    # the column with most categories is eliminated, those of the others become columns
+    sizes = train.agg(*[F.approx_count_distinct(v).alias(v) for v in c]).first().asDict() if c else {}
+    widest = max(c, key=lambda v: (sizes[v], v)) if c else None
+    terms = [(v, k) for v in c if v != widest for k in frequent_categories(train, v)]
+    dummies = {f"t{i}": (F.col(v) == k) for i, (v, k) in enumerate(terms)}
+    rows = rows.withColumns({t: F.coalesce(hit.cast("double"), F.lit(0.0)) for t, hit in dummies.items()})
+    rows = materialize(rows, "linear-rows")
+    train = rows.filter("train")
+    known = train.groupBy("window").agg(
+        F.count("*").alias("n"), F.avg("y").alias("y"), *[F.avg(v).alias(v) for v in (*x, *dummies)], *[F.stddev_pop(v).alias(f"d_{v}") for v in x]
     )
-    label = group_label(*[F.col(g) for g in cfg.group_columns])
-    held = (
-        ready.withColumn("_windows", _window_table(ready, windows))
-        .withColumn("_w", F.explode(inside))
-        .select(
-            *numeric, *categorical, label.alias("series"), day.alias("date"),
-            F.col(cfg.target_column).cast("double").alias("actual"), "_w.window", "_w.split", "_w.fold",
+    facts = {r["window"]: r for r in known.collect() if r["n"] >= 2}
+    cols = [*x, *dummies]
+
+    fact = lambda name: _by_window({w: float(r[name]) for w, r in facts.items()}, None)
+    shifted = rows.filter(F.col("window").isin(list(facts))).withColumns({v: F.col(v) - fact(v) for v in cols} | {"shifted": F.col("y") - fact("y"), "one": F.lit(1.0)})
+    vector = ["one", *cols, "shifted"]
+    fitted_on = shifted.filter("train")
+    cross = _collected(_grams(fitted_on, vector, [F.lit(1.0)]), len(vector))
+    penalties = [1.0 if m == "ridge_regression" else 0.0 for m in models]
+    if widest:
+        groups = materialize(
+            fitted_on.filter(F.col(widest).isNotNull()).groupBy("window", F.col(widest).alias("category")).agg(*[F.sum(v).alias(v) for v in vector]), "linear-groups"
         )
-        .withColumn("h", F.row_number().over(Window.partitionBy("series", "window").orderBy("date")))
-    )
+        n = F.col("one")
+        kinds = [*[1.0 / (n + a) for a in penalties], 1.0 / (n * n)]
+        effects = _collected(_grams(groups, vector, kinds), len(vector))
+
     out: DataFrame | None = None
-    for name in models:
-        fitted = fit_linear(cross, len(numeric), len(terms), 1.0 if name == "ridge_regression" else 0.0)
-        scored = predict_linear(held, fitted, numeric, terms).withColumns(
-            {"model": F.lit(name), "residual": F.col("prediction") - F.col("actual")}
-        )
-        part = scored.select(*PREDICTION_COLUMNS).filter("actual IS NOT NULL AND prediction IS NOT NULL")
+    scored = shifted.filter("not train")
+    if widest:
+        sums = groups.withColumnsRenamed({v: f"s_{v}" for v in vector}).withColumnRenamed("window", "window_")
+        scored = scored.join(sums, (F.col("window") == F.col("window_")) & (F.col(widest) == F.col("category")), "left")
+    scored = scored.withColumn("h", F.row_number().over(Window.partitionBy("series", "window").orderBy("date")))
+    for i, (name, alpha) in enumerate(zip(models, penalties, strict=True)):
+        value = F.lit(None).cast("double")
+        for w, r in facts.items():
+            unit = np.array([float(r[f"d_{v}"]) or 1.0 for v in x] + [1.0] * len(dummies))
+            if widest and (w, i) in effects:
+                base, slopes = solve_with_effects(cross[w, 0], effects[w, i], effects[w, len(models)], unit, alpha)
+            else:
+                base, slopes, _ = solve(cross[w, 0], [True] * len(x) + [False] * len(dummies), alpha)
+            ahead = F.lit(base) + F.lit(float(r["y"]))
+            for v, slope in zip(cols, slopes, strict=True):
+                ahead = ahead + F.lit(float(slope)) * F.col(v)
+            if widest and (w, i) in effects:
+                # the effect from the sums of the category: what the slopes leave, shrunk by the penalty
+                rest = F.col("s_shifted") - F.lit(base) * F.col("s_one")
+                for v, slope in zip(cols, slopes, strict=True):
+                    rest = rest - F.lit(float(slope)) * F.col(f"s_{v}")
+                ahead = ahead + F.coalesce(rest / (F.col("s_one") + F.lit(alpha)), F.lit(0.0))
+            value = F.when(F.col("window") == w, ahead).otherwise(value)
+        part = scored.withColumns({"model": F.lit(name), "actual": F.col("y"), "prediction": value})
+        part = part.withColumn("residual", F.col("prediction") - F.col("actual")).select(*PREDICTION_COLUMNS)
+        part = part.filter("actual IS NOT NULL AND prediction IS NOT NULL")
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("No linear model was asked for")
     return out
