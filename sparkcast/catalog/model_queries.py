@@ -413,15 +413,19 @@ ITEM_SQL = """item AS (SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_lin
   AS id, l_extendedprice AS y, l_quantity AS quantity, l_discount AS discount, l_tax AS tax FROM lineitem)"""
 
 
-def items(spark, sf):
-    from sparkcast.operators.ordered import with_position
-
-    rows = table(spark, sf, "lineitem").select(
+def measures(spark, sf):
+    return table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").alias("y"),
         F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"),
     )
+
+
+def items(spark, sf):
+    """Line items under a number of their own, as no key of the table is unique."""
+    from sparkcast.operators.ordered import with_position
+
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "tax", "quantity", "discount", "y"]
-    return with_position(rows, order, "id").select("id", "y", "quantity", "discount", "tax")
+    return with_position(measures(spark, sf), order, "id").select("id", "y", "quantity", "discount", "tax")
 
 
 def score(df):
@@ -435,28 +439,28 @@ def _unit_sql(*parts: str) -> str:
     return f"CAST(CAST('0x' || substring(sha256({" || ':' || ".join(parts)}), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496e0"
 
 
+_STEPS = ", ".join(
+    f"('{f}', {r}, {a}, {b})"
+    for (f, r), (a, b) in zip([(f, r) for f in SLOPES for r in range(5)], explain.shuffle_steps(5 * len(SLOPES), 42), strict=True)
+)
+
+
 @query(
     "permutation_importance",
-    f"""WITH {ITEM_SQL}, b AS (SELECT -avg(abs(y - ({SCORE_SQL}))) AS base FROM item),
-    pos AS (SELECT *, row_number() OVER (ORDER BY {_unit_sql('CAST(id AS VARCHAR)', "'row'", "'42'")}) AS p FROM item),
-    runs AS (SELECT f.feature, r.rep FROM (VALUES ('quantity'), ('discount'), ('tax')) f(feature),
-             (VALUES (0), (1)) r(rep)),
-    don AS (SELECT feature, rep, CASE feature WHEN 'quantity' THEN quantity WHEN 'discount' THEN discount ELSE tax END AS v,
-            row_number() OVER (PARTITION BY feature, rep ORDER BY
-              {_unit_sql('CAST(id AS VARCHAR)', 'feature', 'CAST(rep AS VARCHAR)', "'42'")}) AS p FROM item, runs),
-    sh AS (SELECT pos.y, d.feature, d.rep, CASE d.feature WHEN 'quantity' THEN v ELSE quantity END AS quantity,
-           CASE d.feature WHEN 'discount' THEN v ELSE discount END AS discount,
-           CASE d.feature WHEN 'tax' THEN v ELSE tax END AS tax FROM pos JOIN don d USING (p)),
+    f"""WITH {ITEM_SQL}, b AS (SELECT -avg(abs(y - ({SCORE_SQL}))) AS base, count(*) AS n FROM item),
+    pos AS (SELECT *, row_number() OVER (ORDER BY {_unit_sql('CAST(id AS VARCHAR)', "'row'", "'42'")}) - 1 AS p FROM item),
+    runs AS (SELECT * FROM (VALUES {_STEPS}) r(feature, rep, a, b)),
+    sh AS (SELECT x.y, r.feature, r.rep, CASE r.feature WHEN 'quantity' THEN d.quantity ELSE x.quantity END AS quantity,
+           CASE r.feature WHEN 'discount' THEN d.discount ELSE x.discount END AS discount,
+           CASE r.feature WHEN 'tax' THEN d.tax ELSE x.tax END AS tax
+           FROM pos x, b, runs r JOIN pos d ON d.p = (CAST(r.a AS BIGINT) * x.p + r.b) % n),
     s AS (SELECT feature, rep, base - (-avg(abs(y - ({SCORE_SQL})))) AS drop_ FROM sh, b GROUP BY feature, rep, base)
     SELECT feature, {rnd_sql('avg(drop_)', 3)} AS mean_decrease, {rnd_sql('stddev_pop(drop_)', 3)} AS std_decrease
     FROM s GROUP BY feature""",
 )
 def _(spark, sf):
     rows = items(spark, sf)
-    out = explain.permutation_importance(
-        rows, "id", "y", list(SLOPES), score, lambda y, p: -F.avg(F.abs(y - p)), repeats=2
-    )
-    return rounded(out, 3)
+    return rounded(explain.permutation_importance(rows, "id", "y", list(SLOPES), score, lambda y, p: -F.avg(F.abs(y - p))), 3)
 
 
 @query(
@@ -468,7 +472,7 @@ def _(spark, sf):
     FROM item, g GROUP BY point, v""",
 )
 def _(spark, sf):
-    out = explain.partial_dependence(items(spark, sf), "quantity", score)
+    out = explain.partial_dependence(measures(spark, sf), "quantity", score)
     return rounded(rounded(out, 6, "grid_value"), 3, "mean_prediction")
 
 
@@ -525,7 +529,8 @@ def _(spark, sf):
     CAST(row_number() OVER (ORDER BY a DESC, feature) AS INTEGER) AS rank FROM s""",
 )
 def _(spark, sf):
-    out = explain.contribution_summary(explain.linear_contributions(items(spark, sf), "id", SLOPES))
+    rows = measures(spark, sf).withColumn("id", F.col("l_orderkey"))
+    out = explain.contribution_summary(explain.linear_contributions(rows, "id", SLOPES))
     return rounded(out.drop("direction"), 3)
 
 

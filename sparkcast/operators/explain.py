@@ -6,6 +6,8 @@ whole, distributed DataFrames; grids and repeats are constant arrays that expand
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkcast.operators.quantiles import exact_quantiles
+from sparkcast.session import materialize
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -55,6 +58,18 @@ def _positions(df: DataFrame, groups: Sequence[str], share: str, name: str) -> D
     )
 
 
+def shuffle_steps(runs: int, seed: int, rows: int | None = None) -> list[tuple[int, int]]:
+    """(a, b) for each run: the donor of position p is (a * p + b) mod rows. Each a is a prime that does not divide the number of
+    rows, so every position is a donor once; a * p + b stays below 2**63 for up to 10**11 rows."""
+    rng = random.Random(seed)
+    steps: list[tuple[int, int]] = []
+    while len(steps) < runs:
+        a, b = rng.randrange(1 << 24, 1 << 26), rng.randrange(1 << 40)
+        if all(a % d for d in range(2, math.isqrt(a) + 1)) and not (rows and rows % a == 0):
+            steps.append((a, b))
+    return steps
+
+
 def permutation_importance(
     df: DataFrame,
     key: str,
@@ -67,31 +82,29 @@ def permutation_importance(
 ) -> DataFrame:
     """Mean and deviation of the loss of a metric when one feature is shuffled.
 
-    A shuffle pairs two orders of the rows by position, both given by a hash of the key: one order
-    for the rows, one for the donors of each (feature, repeat). All shuffles run in one job. The
-    metric is higher-is-better: an aggregate of (target, prediction).
+    Rows are numbered once, in the order of a hash of the key, and written. Each (feature, repeat) then takes donors by
+    arithmetic on the positions, so no run orders anything; all runs share one join and one job. The metric is
+    higher-is-better: an aggregate of (target, prediction).
     """
     base = score(df).agg(metric(F.col(target), F.col("prediction")).alias("b")).scalar()
-    rows = _positions(df.withColumn("_share", unit_hash(F.col(key), F.lit("row"), F.lit(seed))), [], "_share", "position")
-    rows = rows.drop("_share")
-    runs = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat")) for f in features for r in range(repeats)])
-    donor_value = F.coalesce(*[F.when(F.col("feature") == f, F.col(f).cast("double")) for f in features])
-    donors = (
-        df.select(key, *features, F.explode(runs).alias("_r"))
-        .select(key, "_r.feature", "_r.repeat", *features)
-        .select(
-            "feature", "repeat", donor_value.alias("_donor"),
-            unit_hash(F.col(key), F.col("feature"), F.col("repeat"), F.lit(seed)).alias("_share"),
-        )
+    numbered = _positions(df.withColumn("_share", unit_hash(F.col(key), F.lit("row"), F.lit(seed))), [], "_share", "position")
+    rows = materialize(numbered.drop("_share"), "permutation")
+    n = rows.count()
+    steps = shuffle_steps(len(features) * repeats, seed, n)
+    runs = [(f, r, *steps[i * repeats + r]) for i, f in enumerate(features) for r in range(repeats)]
+    table = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), F.lit(a).alias("a"), F.lit(b).alias("b")) for f, r, a, b in runs])
+    asked = rows.withColumn("_r", F.explode(table)).withColumn(
+        "_donor", ((F.col("position") - 1) * F.col("_r.a") + F.col("_r.b")) % F.lit(max(n, 1)) + 1
     )
-    placed = _positions(donors, ["feature", "repeat"], "_share", "position").drop("_share")
+    donors = rows.select(F.col("position").alias("_position"), F.struct(*[F.col(f).cast("double").alias(f) for f in features]).alias("_given"))
     # Both sides grow with the data: always a sort-merge join.
-    shuffled = rows.hint("merge").join(placed, "position").withColumns(
-        {f: F.when(F.col("feature") == f, F.col("_donor")).otherwise(F.col(f).cast("double")) for f in features}
+    met = asked.hint("merge").join(donors, F.col("_donor") == F.col("_position"))
+    shuffled = met.withColumns(
+        {f: F.when(F.col("_r.feature") == f, F.col(f"_given.{f}")).otherwise(F.col(f).cast("double")) for f in features}
     )
     losses = (
         score(shuffled)
-        .groupBy("feature", "repeat")
+        .groupBy(F.col("_r.feature").alias("feature"), F.col("_r.repeat").alias("repeat"))
         .agg(metric(F.col(target), F.col("prediction")).alias("_score"))
         .withColumn("drop", base - F.col("_score"))
     )

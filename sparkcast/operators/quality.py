@@ -425,15 +425,16 @@ def outliers(q: QualityInput) -> DataFrame:
 
 
 def _repeats(q: QualityInput, key: Sequence[Column], names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(one row with the number of repeated rows, the repeated rows themselves).
+    """(one row with the number of repeated rows, the repeated rows that can serve as evidence).
 
-    Groups shrink to a count and a first row before the shuffle. Repeated rows are found by joining
-    back to the groups that do repeat; the size of that side decides the join at run time.
+    Groups shrink to a count before the shuffle. Of each group the second and the next few rows are kept, as no later one can be
+    among the first repeats of the table; the rank filter applies before the shuffle, so of a hot group each task sends a few rows,
+    and nothing is joined back.
     """
     keyed = q.df.select(*[k.alias(n) for k, n in zip(key, names)], q.row_id)
-    groups = keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min(q.row_id).alias("first_row"))
-    repeated = groups.filter(F.col("n") > 1)
-    rows = keyed.join(repeated, list(names)).filter(F.col(q.row_id) > F.col("first_row"))
+    groups = keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    nth = F.row_number().over(Window.partitionBy(*names).orderBy(q.row_id))
+    rows = keyed.withColumn("_nth", nth).filter(F.col("_nth") <= q.cfg.evidence_rows + 1).filter("_nth > 1")
     return groups.agg(F.sum(F.col("n") - 1).alias("repeats"), F.sum("n").alias("scanned")), rows
 
 

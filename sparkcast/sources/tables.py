@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkcast.functions.text import shorten
+from sparkcast.operators.ordered import with_position
+from sparkcast.session import materialize
 
 
 def table_stats(df: DataFrame) -> DataFrame:
@@ -26,12 +29,59 @@ def preview(df: DataFrame, order: Sequence[str], rows: int = 20, cell_limit: int
     return head.select(*[shorten(F.col(c).cast("string"), cell_limit).alias(c) for c in df.columns])
 
 
+@dataclass(frozen=True)
+class PageIndex:
+    """The first key of every page of an ordered table, so that any page is a range of keys.
+
+    Built once by one distributed sort of the key columns alone; it holds one row per page, in the shared folder. A page reads
+    the keys at its two ends and the rows between them: page 1,000,000 costs what page 1 costs, and on data that is laid out by
+    the leading column the range reaches the scan."""
+
+    rows: DataFrame
+    keys: DataFrame
+    order: tuple[str, ...]
+    size: int
+    total: int
+
+    @classmethod
+    def build(cls, df: DataFrame, order: Sequence[str], size: int = 50) -> PageIndex:
+        """Ascending by columns that together tell any two rows apart; nulls first. Rows
+        with equal keys stay together, on the last page that begins with their key."""
+        if size < 1:
+            raise ValueError("Page number and size must be positive")
+        placed = with_position(df.select(*order), list(order), "_position")
+        starts = materialize(placed.filter((F.col("_position") - 1) % size == 0).withColumn("_page", F.ceil(F.col("_position") / size)), "pages")
+        return cls(df, starts, tuple(order), size, df.count())
+
+    def page(self, number: int) -> DataFrame:
+        """The rows of a page in order, with the total row count on every row; none past the end."""
+        if number < 1:
+            raise ValueError("Page number and size must be positive")
+        ends = {r["_page"]: r for r in self.keys.filter(F.col("_page").isin(number, number + 1)).collect()}
+        types = dict(self.rows.dtypes)
+        key = F.struct(*self.order)
+
+        def value(row: Row) -> Column:
+            return F.struct(*[F.lit(row[c]).cast(types[c]).alias(c) for c in self.order])
+
+        if number not in ends:
+            hits = self.rows.filter("false")
+        else:
+            first, last = ends[number], ends.get(number + 1)
+            hits = self.rows.filter(key >= value(first))
+            lead = self.order[0]
+            if first[lead] is not None:
+                hits = hits.filter(F.col(lead) >= F.lit(first[lead]).cast(types[lead]))
+            if last is not None:
+                hits = hits.filter(key < value(last))
+                if first[lead] is not None:
+                    hits = hits.filter(F.col(lead) <= F.lit(last[lead]).cast(types[lead]))
+        return hits.orderBy(*self.order).withColumn("total", F.lit(self.total).cast("long"))
+
+
 def page(df: DataFrame, order: Sequence[str], number: int = 1, size: int = 50) -> DataFrame:
-    """One page of an ordered result with the total row count on every row."""
-    if number < 1 or size < 1:
-        raise ValueError("Page number and size must be positive")
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return df.orderBy(*order).offset((number - 1) * size).limit(size).withColumn("total", total)
+    """One page of an ordered result. Whoever reads several pages builds the index once."""
+    return PageIndex.build(df, order, size).page(number)
 
 
 def scan_coverage(df: DataFrame, scanned: Column | None = None) -> DataFrame:

@@ -161,3 +161,26 @@ def test_overrides_are_audited(spark):
     audit = schema.override_audit(out).first()
     assert (audit["old_role"], audit["new_role"]) == ("unknown", "revenue")
     assert out.filter(F.col("column_name") == "value").first()["confidence"] == 1.0
+
+
+def test_repeats_of_a_hot_row(spark):
+    """A row that most of the table repeats, beside small groups and a null key: counts of all, evidence of the first repeats, no row joined back."""
+    text = F.when(F.col("row_id") % 10 < 8, "same").when(F.col("row_id") % 10 == 8, F.concat(F.lit("k"), F.floor(F.col("row_id") / 40).cast("string")))
+    df = spark.range(20_000).select(F.col("id").alias("row_id")).select(
+        "row_id", F.lit("2026-01-01").alias("date"), text.alias("channel"), F.lit("5").alias("revenue")
+    ).repartition(7)
+    roles = {"date": "date", "channel": "channel", "revenue": "revenue"}
+    q = QualityInput(df, "row_id", roles, cfg=QualityConfig(as_of="2026-12-31"))
+    rows = df.select("row_id", "channel").collect()
+    first, repeated = {}, []
+    for r in sorted(rows, key=lambda r: r["row_id"]):
+        if r["channel"] in first:
+            repeated.append(r["row_id"])
+        first.setdefault(r["channel"], r["row_id"])
+    for rule in (dq.duplicate_rows, dq.duplicate_keys):
+        out = rule(q)
+        got = out.first()
+        assert got["affected_row_count"] == len(repeated)
+        assert got["sample_row_indices"] == repeated[: q.cfg.evidence_rows]
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "WindowGroupLimit" in plan and "Join" not in plan
