@@ -7,7 +7,7 @@ cells; row numbers shown as evidence come from flagged rows only, ranked before
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -85,6 +85,9 @@ FINDING_COLUMNS = (
 )
 
 
+FINGERPRINT, MOMENT, NUMBER = "_fingerprint", "_moment", "_number_"
+
+
 @dataclass(frozen=True)
 class QualityInput:
     """A raw table, the column that gives its row order, and the role of each column in order."""
@@ -94,6 +97,7 @@ class QualityInput:
     roles: Mapping[str, str]
     confirmed: bool = True
     cfg: QualityConfig = QualityConfig()
+    typed: bool = False
 
     @property
     def columns(self) -> list[str]:
@@ -123,6 +127,16 @@ class QualityInput:
         return m.withColumn("normalized_name", normalize_name(F.col(COLUMN)))
 
 
+def typed_rows(q: QualityInput) -> QualityInput:
+    """The same input on a written copy that also holds what several rules parse: the moment, the numbers and the fingerprint of
+    each row. The raw table is read once; a rule then reads only the columns it needs."""
+    made = {FINGERPRINT: row_fingerprint(*[F.col(c) for c in q.roles])}
+    made |= {f"{NUMBER}{c}": parse_number_quality(cell(F.col(c))) for c in q.with_role(NUMERIC_ROLES)}
+    if q.date_column:
+        made[MOMENT] = parse_date_quality(cell(F.col(q.date_column)))
+    return replace(q, df=materialize(q.df.withColumns(made), "typed-rows"), typed=True)
+
+
 def finding(
     code: str,
     severity: Column | str,
@@ -331,6 +345,9 @@ def _numeric_cells(q: QualityInput) -> DataFrame:
         return q.df.sparkSession.createDataFrame(
             [], f"{q.row_id} bigint, {COLUMN} string, {VALUE} string, num double"
         )
+    if q.typed:
+        cells = F.array(*[F.struct(F.lit(c).alias(COLUMN), cell(F.col(c)).alias(VALUE), F.col(f"{NUMBER}{c}").alias("num")) for c in columns])
+        return q.df.select(q.row_id, F.explode(cells).alias("_cell")).select(q.row_id, "_cell.*")
     cells = long_values(q.df, columns, q.row_id)
     return cells.withColumn("num", parse_number_quality(F.col(VALUE)))
 
@@ -439,8 +456,8 @@ def _repeats(q: QualityInput, key: Sequence[Column], names: Sequence[str]) -> tu
 
 
 def duplicate_rows(q: QualityInput) -> DataFrame:
-    cells = [F.col(c) for c in q.roles]
-    counted, rows = _repeats(q, [row_fingerprint(*cells)], ["fingerprint"])
+    key = F.col(FINGERPRINT) if q.typed else row_fingerprint(*[F.col(c) for c in q.roles])
+    counted, rows = _repeats(q, [key], ["fingerprint"])
     ratio = F.col("repeats") / F.greatest("scanned", F.lit(1))
     return counted.filter(F.col("repeats") > 0).select(
         *finding(
@@ -471,9 +488,8 @@ def duplicate_keys(q: QualityInput) -> DataFrame:
 def _moments(q: QualityInput) -> DataFrame:
     """Row id, date text and parsed moment of every row."""
     text = cell(F.col(q.date_column))
-    return q.df.select(F.col(q.row_id).cast("bigint").alias("row"), text.alias("text")).withColumn(
-        "moment", parse_date_quality(F.col("text"))
-    )
+    moment = F.col(MOMENT) if q.typed else parse_date_quality(text)
+    return q.df.select(F.col(q.row_id).cast("bigint").alias("row"), text.alias("text"), moment.alias("moment"))
 
 
 def bad_dates(q: QualityInput) -> DataFrame:
@@ -594,6 +610,9 @@ def temporal_summary(q: QualityInput) -> DataFrame:
     """One row: frequency, range, gaps, duplicates, disorder and future dates."""
     if not q.date_column:
         return q.df.sparkSession.range(1).select(F.lit(False).alias("available"))
+    if not q.typed:
+        moment = parse_date_quality(cell(F.col(q.date_column))).alias(MOMENT)
+        q = replace(q, df=materialize(q.df.select(q.row_id, q.date_column, moment), "moments"), typed=True)
     moments = _moments(q)
     ranges = moments.agg(
         F.min("moment").alias("date_min"),
@@ -643,7 +662,8 @@ def _row_checks(q: QualityInput, checks: Mapping[str, tuple[Sequence[str], Colum
 
 
 def _number(q: QualityInput, role: str) -> Column:
-    return parse_number_quality(cell(F.col(q.by_role[role])))
+    column = q.by_role[role]
+    return F.col(f"{NUMBER}{column}") if q.typed and column in q.with_role(NUMERIC_ROLES) else parse_number_quality(cell(F.col(column)))
 
 
 def funnel_inversions(q: QualityInput) -> DataFrame:

@@ -12,7 +12,9 @@ from sparkcast.session import materialize
 
 
 def all_findings(q: QualityInput) -> DataFrame:
-    """Findings of all rules. The dictionary statistics are written once and shared by eight rules."""
+    """Findings of all rules. The raw table is read once, into a typed copy; the dictionary statistics are written once and
+    shared by eight rules."""
+    q = rules.typed_rows(q)
     stats = materialize(rules.cell_statistics(q), "cells")
     shared = (
         rules.missing_values, rules.empty_columns, rules.constant_columns, rules.near_constant_columns,
