@@ -213,7 +213,7 @@ def _per_series(
     sizes = rows.groupBy("series", "window").agg(F.count_if(F.col("part") == "train").alias("n"), F.count_if(F.col("part") == "hold").alias("m"))
     least = sizes.filter("m > 0").agg(F.min("n")).first()[0]
     if least is not None and least < MIN_GROUP_ROWS:
-        raise BoostingError("A group to be scored has no training rows" if least == 0 else "Insufficient group history for a per-group model")
+        raise BoostingError("A group to be scored has no training rows" if least == 0 else "A group to be scored has too few training rows")
     x, c = [f"x{i}" for i in range(len(numeric))], [f"c{i}" for i in range(len(labels))]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -343,13 +343,13 @@ def tune(
             for place, i in enumerate(running):
                 mean, n = found.get(place, (None, 0))
                 good = mean is not None and n == len(windows)
-                rows[i] = (i, "completed", texts[i], float(mean), None) if good else (i, "failed", texts[i], None, "Tuning metric is undefined")
+                rows[i] = (i, "completed", texts[i], float(mean), None) if good else (i, "failed", texts[i], None, "The metric has no value on some fold")
             alive = sorted((i for i in running if rows[i][1] == "completed"), key=lambda i: (rows[i][3], i))
             running = sorted(alive[: max(1, math.ceil(len(alive) / 3))])
             if not running:
                 break
     if all(r[1] == "failed" for r in rows.values()):
-        raise BoostingError("All hyperparameter trials failed")
+        raise BoostingError("No trial of the search gave a score")
     return panel.sparkSession.createDataFrame([rows[i] for i in sorted(rows)], TRIALS)
 
 

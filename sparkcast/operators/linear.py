@@ -183,7 +183,7 @@ def forecast_linear(
     categorical = list(cfg.group_columns if categorical is None else categorical)
     numeric = [f for f in features if f not in categorical]
     if not numeric and not categorical:
-        raise ValueError("No safe linear features are available")
+        raise ValueError("A linear model needs a feature or a group")
     x, c = [f"x{i}" for i in range(len(numeric))], [f"c{i}" for i in range(len(categorical))]
     rows = _filled(_rows(panel, cfg, windows, numeric, categorical), x, c)
     train = rows.filter("train")

@@ -87,7 +87,7 @@ def aggregate_panel(
             metrics.append(F.max_by(c, F.when(cell(c) != "", order)).alias(name))
     panel = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(ROWS), *metrics)
     if cfg.duplicate_period_policy == "reject" and not panel.filter(F.col(ROWS) > 1).isEmpty():
-        raise PreparationError("Duplicate date/group periods require aggregation")
+        raise PreparationError("A series has several rows for one period, which the configuration refuses")
     return recompute_ratios(panel, roles)
 
 
@@ -131,7 +131,7 @@ def align_panel(panel: DataFrame, cfg: PreparationConfig, roles: Mapping[str, st
         return panel.withColumn(GENERATED, F.lit(0))
     if cfg.missing_period_policy == "reject":
         if not gap_report(panel, cfg).filter("missing_periods > 0").isEmpty():
-            raise PreparationError("Missing time periods are present")
+            raise PreparationError("A series lacks periods between its first and its last")
         return panel.withColumn(GENERATED, F.lit(0))
     by_role = columns_by_role(roles or {})
     zeros = set()

@@ -11,20 +11,20 @@ from sparkcast.functions.text import series_id
 from sparkcast.operators.panel import PreparationError
 from sparkcast.operators.splits import SPLIT
 
-# Name parts of columns derived from the target, and input size limits.
+# Name parts of columns derived from the target, and input sizes.
 TARGET_DERIVED_TERMS = ("roas", "average_order_value", "revenue_per_click", "revenue_per_impression",
                         "campaign_success", "settlement")
-MIN_INPUT, MAX_INPUT, INPUT_PER_HORIZON, HISTORY_PER_HORIZON = 28, 365, 4, 3
+MIN_INPUT, INPUT_PER_HORIZON, HISTORY_PER_HORIZON = 28, 4, 3
 STEP_DAYS = {"daily": 1, "weekly": 7}
 
 
-def resolve_input_size(horizon: int, configured: int | None = None) -> int:
-    """Length of the input window: four horizons, at least 28, unless configured."""
+def resolve_input_size(horizon: int, configured: int | None = None, most: int | None = None) -> int:
+    """Length of the input window: four horizons, at least 28, unless configured; `most` is a limit, off by default."""
     size = configured or max(MIN_INPUT, INPUT_PER_HORIZON * horizon)
-    if not MIN_INPUT <= size <= MAX_INPUT:
-        raise PreparationError("Input size is outside the configured limits")
+    if size < MIN_INPUT or (most is not None and size > most):
+        raise PreparationError(f"An input of {size} periods is too short or too long")
     if size < horizon:
-        raise PreparationError("Input size must be at least the forecast horizon")
+        raise PreparationError("The input is shorter than the horizon")
     return size
 
 

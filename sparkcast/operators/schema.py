@@ -157,14 +157,14 @@ def role_candidates(profile: DataFrame) -> DataFrame:
             _evidence("name_match", F.col("match"), F.col("name_score"), name, F.col("_r.synonyms")[0], F.lit("info")),
             _evidence(
                 "physical_type",
-                F.when(fits, "Compatible physical type").otherwise("Physical type conflicts with role"),
-                F.col("type_score"), kind, F.lit("role-compatible type"),
+                F.when(fits, "The values have the type this role needs").otherwise("The values have another type than this role needs"),
+                F.col("type_score"), kind, F.lit("the type of the role"),
                 F.when(fits, "info").otherwise("warning"),
             ),
             F.when(
                 F.col("distribution_score") > 0,
                 _evidence(
-                    "distribution", F.lit("Sampled numeric values are mostly non-negative"), F.col("distribution_score"),
+                    "distribution", F.lit("Hardly any number lies below zero"), F.col("distribution_score"),
                     F.round("nonnegative_rate", 3).cast("string"), F.lit(">= 0.8"), F.lit("info"),
                 ),
             ),
@@ -334,12 +334,12 @@ def schema_issues(mapping: DataFrame) -> DataFrame:
     found = F.array_compact(
         F.array(
             issue(F.col("dates") == 0, "missing_date", "blocking",
-                  "No plausible date or timestamp mapping is available."),
-            issue(F.col("targets") == 0, "missing_target", "blocking", "No plausible target metric is available."),
+                  "No column looks like a date or a time."),
+            issue(F.col("targets") == 0, "missing_target", "blocking", "No column looks like something to forecast."),
             issue(F.size("revenues") > 1, "duplicate_revenue", "warning",
-                  "Multiple strong revenue candidates require review.", F.col("revenues")),
+                  "More than one column may be the revenue; choose one.", F.col("revenues")),
             issue((F.col("spends") > 0) & (F.col("any_revenue") == 0), "spend_without_revenue", "warning",
-                  "Spend exists without a revenue mapping."),
+                  "There is spend but no revenue to set against it."),
         )
     )
     return counted.select(F.explode(found).alias("i")).select("i.*")

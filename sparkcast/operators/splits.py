@@ -55,7 +55,7 @@ def split_bounds(panel: DataFrame, cfg: PreparationConfig) -> DataFrame:
     empty = (F.col("train_n") < 1) | (F.col("validation_n") <= F.col("train_n")) | (F.col("test_n") <= F.col("validation_n"))
     return counts.select(
         "*",
-        F.when(too_short, F.raise_error(F.lit("Insufficient temporal history for governed splitting")).cast("date"))
+        F.when(too_short, F.raise_error(F.lit("Insufficient temporal history: too few dates to split")).cast("date"))
         .when(empty, F.raise_error(F.lit("Chronological split is too small")).cast("date"))
         .otherwise(_at(F.lit(1)))
         .alias("train_start"),
@@ -101,7 +101,7 @@ def check_split_rows(manifest: DataFrame, cfg: PreparationConfig) -> None:
     rows = {r[SPLIT]: r["row_count"] for r in manifest.collect()}
     needed = dict(zip(("train", "validation", "test"), cfg.min_split_rows))
     if any(rows.get(name, 0) < least for name, least in needed.items()):
-        raise PreparationError("Chronological split does not meet configured minimum row counts")
+        raise PreparationError("A split holds fewer rows than the configuration asks for")
 
 
 def split_order_check(manifest: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from sparkcast.config import PreparationConfig
 from sparkcast.operators import features, panel, splits
-from sparkcast.plans.prepare import prepare_panel
+from sparkcast.operators.panel import PreparationError
+from sparkcast.plans.prepare import Review, current_digest, prepare_panel, prepare_reviewed
 
 CFG = PreparationConfig("revenue", "date", ("channel",), lag_periods=(1, 7), rolling_windows=(3,))
 ROLES = {"date": "date", "channel": "channel", "revenue": "revenue", "spend": "spend", "roas": "roas"}
@@ -118,3 +119,35 @@ def test_negative_shift_under_either_key_is_excluded(spark):
     )
     got = {r[0]: r[1] for r in covariate_classes(catalog, [], "y").collect()}
     assert got == {"a": "excluded", "b": "excluded", "c": "historical", "d": "historical"}
+
+
+def test_only_reviewed_tables_are_prepared(raw):
+    digest = current_digest(raw)
+    assert digest == current_digest(raw.repartition(3)) != current_digest(raw.filter("row <> 3"))
+    good = Review("confirmed", 2, ROLES, "quality_ready", 2, digest)
+    cfg = replace(CFG, min_split_rows=(6, 1, 1))
+    made, manifest = prepare_reviewed(raw, cfg, good)
+    assert made.count() == 12 and {r["split"]: r["row_count"] for r in manifest.collect()} == {"train": 8, "validation": 1, "test": 3}
+    refused = [
+        replace(good, mapping_status="draft"), replace(good, readiness=None), replace(good, report_version=1),
+        replace(good, report_digest="0"), replace(good, readiness="blocked"), replace(good, readiness="needs_attention"),
+    ]
+    for review in refused:
+        with pytest.raises(PreparationError):
+            prepare_reviewed(raw, cfg, review, " ")
+    assert prepare_reviewed(raw, cfg, refused[-1], "known gap")[0].count() == 12
+    with pytest.raises(PreparationError):
+        prepare_reviewed(raw, replace(cfg, min_split_rows=(6, 2, 2)), good)
+
+
+def test_limits_are_optional():
+    from sparkcast.operators.readiness import resolve_input_size
+
+    assert replace(CFG, backtest_folds=40, max_folds=None).backtest_folds == 40
+    with pytest.raises(ValueError):
+        replace(CFG, backtest_folds=40)
+    assert resolve_input_size(200) == 800
+    with pytest.raises(PreparationError):
+        resolve_input_size(200, most=365)
+    with pytest.raises(PreparationError):
+        resolve_input_size(40, 30)
