@@ -124,16 +124,19 @@ def near_hits(docs: DataFrame, items: DataFrame, size: int = 10, reach: int = 15
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit (words inside any occurrence), item_ids (sorted as strings)."""
-    hits = materialize(phrase_hits(docs, items, size).distinct(), "hits")
+    """One row per document: doc_id, n_words, n_hit (words inside any occurrence), item_ids (sorted as strings).
+
+    Rows are told apart by id and text together, so rows with a null id and rows that share an id each get what their own text holds."""
+    keyed = texts(docs).withColumn("key", F.struct("doc_id", F.sha2("text", 256).alias("digest")))
+    hits = materialize(phrase_hits(keyed.select(F.col("key").alias("doc_id"), "text"), items, size).distinct(), "hits")
     along = Window.partitionBy("doc_id").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     spans = hits.select("doc_id", "start", "stop").distinct().withColumn("before", F.max("stop").over(along))
     covered = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce("before", F.lit(0))))
     per_doc = spans.groupBy("doc_id").agg(F.sum(covered).cast("long").alias("n_hit"))
     ids = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
-    counts = texts(docs).select("doc_id", F.size(words_of("text")).cast("long").alias("n_words"))
-    found = materialize(per_doc.join(ids, "doc_id"), "contaminated")
-    return counts.join(sized(found), "doc_id", "left").select(
+    counts = keyed.select("doc_id", "key", F.size(words_of("text")).cast("long").alias("n_words"))
+    found = materialize(per_doc.join(ids, "doc_id").withColumnRenamed("doc_id", "key"), "contaminated")
+    return counts.join(sized(found), "key", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
     )

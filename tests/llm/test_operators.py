@@ -70,6 +70,16 @@ def test_proximity(spark, make_docs):
     assert {r.doc_id for r in near.collect()} == {0, 2} - {0} | ({0} if "red b fox c quick".count(" ") + 1 <= 5 else set())
 
 
+def test_contamination_of_null_and_repeated_ids(spark, make_docs):
+    item = " ".join(sentences(1, 14))
+    texts, ids = ["see " + item, "clean words only", item, item, None, "so " + item[:-1], "clean"], [None, None, 3, 3, 4, 4, 4]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontamination.contamination(make_docs(texts, ids), items).collect()
+    want = [(i, *brute_contamination([(0, t)], [(1, item)])[0]) for i, t in zip(ids, texts, strict=True)]
+    key = lambda r: str(tuple(r))
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in got), key=key) == sorted(want, key=key)
+
+
 # -- 2
 
 
