@@ -126,8 +126,10 @@ def near_hits(docs: DataFrame, items: DataFrame, size: int = 10, reach: int = 15
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit (words inside any occurrence), item_ids (sorted as strings).
 
-    Rows are told apart by id and text together, so rows with a null id and rows that share an id each get what their own text holds."""
-    keyed = texts(docs).withColumn("key", F.struct("doc_id", F.sha2("text", 256).alias("digest")))
+    Rows are told apart by id and 96 bits of hashes of the text, so rows with a null id and rows that share an id each get what their
+    own text holds. Postings carry this key, so it is short."""
+    hashes = F.xxhash64("text").alias("hash"), F.crc32(F.col("text").cast("binary")).alias("check")
+    keyed = texts(docs).withColumn("key", F.struct("doc_id", *hashes))
     hits = materialize(phrase_hits(keyed.select(F.col("key").alias("doc_id"), "text"), items, size).distinct(), "hits")
     along = Window.partitionBy("doc_id").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     spans = hits.select("doc_id", "start", "stop").distinct().withColumn("before", F.max("stop").over(along))
