@@ -19,7 +19,7 @@ def rows(names, records):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     cur = con.execute(SQL[name])
     df = QUERIES[name](spark, sf_dir)
@@ -27,7 +27,7 @@ def test_query_matches_sql(spark, sf_dir, name):
 
 
 def test_registered():
-    assert {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in entry.queries()
 
 
