@@ -177,6 +177,51 @@ def test_secrets_in_upper_case(make_docs):
     assert len(flagged & set(range(30))) >= 27 and len(flagged & set(range(30, 60))) >= 27 and len(flagged & set(range(60, 90))) <= 2
 
 
+def _filler(seed, n):
+    """Documents of made-up words, some long or joined by separators, as a table's own language."""
+    rng = random.Random(seed)
+    syllables = ["ban", "tor", "li", "men", "sa", "ver", "ung", "ti", "on", "er", "ket", "mi"]
+    word = lambda a, b: "".join(rng.choice(syllables) for _ in range(rng.randint(a, b)))
+    return [" ".join(word(1, 4) for _ in range(80)) + f" {word(9, 12)} /{word(2, 3)}/{word(2, 4)}/{word(2, 4)}/{word(2, 4)} {'-' * 30}" for _ in range(n)]
+
+
+def test_secrets_of_letters_uuids_and_paths(make_docs):
+    rng = random.Random(11)
+    letters = ["".join(rng.choice(UP + LOW) for _ in range(40)) for _ in range(20)]
+    lower = ["".join(rng.choice(LOW) for _ in range(40)) for _ in range(20)]
+    uuids = ["-".join("".join(rng.choice("0123456789abcdef") for _ in range(k)) for k in (8, 4, 4, 4, 12)) for _ in range(20)]
+    keys = ["".join(rng.choice(UP + LOW + "0123456789") for _ in range(32)) for _ in range(20)]
+    planted = [*letters, *lower, *uuids, *keys]
+    inside = [*(f"see {k} there" for k in [*letters, *lower, *uuids]), *(f"under /banton/lisaver/{k}/menti now" for k in keys)]
+    clean = _filler(5, 60)
+    got = {r.doc_id: r for r in secrets.find_secrets(make_docs([*inside, *clean])).collect()}
+    for low in range(0, 80, 20):
+        hit = [any(s.label == "random" and planted[i] in inside[i][s.start : s.stop] for s in got[i].spans) for i in range(low, low + 20)]
+        assert sum(hit) >= 18, low
+    for i in range(60, 80):  # the key alone, not its path
+        assert all(s.stop - s.start == 32 for s in got[i].spans)
+    assert sum(bool(got[i].spans) for i in range(80, 140)) <= 3
+
+
+def test_secrets_letter_pairs(make_docs):
+    docs = make_docs(["aab ab", "b", None, "x" * 30]).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    got = {(r.one, r.two): r.log_chance for r in secrets.letter_pairs(docs).collect()}
+    want = {("", "a"): 2 / 3, ("", "b"): 1 / 3, ("a", "a"): 1 / 3, ("a", "b"): 2 / 3}
+    assert got == pytest.approx({k: np.log10(0.9 * v + 0.1 / 67) for k, v in want.items()})
+
+
+def test_secrets_step_up(spark):
+    rng = np.random.default_rng(2)
+    rows = [(float(p), float(n)) for p, n in zip(np.concatenate([rng.random(300), rng.random(100) * 1e-6]), rng.integers(20, 80, 400), strict=True)]
+    tested = spark.createDataFrame(rows, "p double, n double")
+    p, n = np.array(rows).T
+    weighted = np.maximum(1e-300, p * n.mean() / n)
+    bins = np.ceil(np.log10(weighted) * 100 - 1e-12)
+    ordered = np.sort(bins)
+    good = [b for b in np.unique(bins) if 10 ** (b / 100) * 400 <= 0.05 * np.searchsorted(ordered, b, "right")]
+    assert secrets.random_strings(tested, 0.05).count() == int((bins > max(good)).sum())
+
+
 # -- 5
 
 
