@@ -1,5 +1,7 @@
 """Reading and writing files."""
 
+import random
+
 import pytest
 
 from sparkcast.config import PreparationConfig
@@ -150,3 +152,42 @@ def test_a_page_reads_a_range_of_keys(spark, tmp_path):
     index = PageIndex.build(spark.read.parquet(str(tmp_path / "rows")), ["id"], 100)
     plan = index.page(9)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(id,800)" in plan and "LessThanOrEqual(id,900)" in plan
+
+
+def _quoted_file(seed, rows, end="\n", delimiter=","):
+    """A file whose cells hold line breaks, delimiters, doubled quotes, quotes inside bare cells, and some ragged rows."""
+    rng = random.Random(seed)
+    bits = ["x", "yy", delimiter, '""', "\n", "\r\n", " ", "é", '""\n""']
+    cell = lambda: '"' + "".join(rng.choice(bits) for _ in range(rng.randint(0, 9))) + '"' if rng.random() < 0.5 else rng.choice(["", "a", "5 \" pipe", "b c"])
+    lines = [delimiter.join(["id", '"note"', "rest"])]
+    for i in range(rows):
+        lines.append(delimiter.join([str(i), *(cell() for _ in range(2 + (rng.random() < 0.05)))]))
+        if rng.random() < 0.05:
+            lines.append("")
+    return "\ufeff" + end.join(lines) + (end if seed % 2 else "")
+
+
+@pytest.mark.parametrize("seed,end,delimiter", [(1, "\n", ","), (2, "\r\n", ";"), (3, "\n", "|"), (4, "\r\n", "\t")])
+def test_quoted_line_breaks_across_blocks(spark, tmp_path, seed, end, delimiter):
+    path = write(tmp_path / "f.csv", _quoted_file(seed, 300, end, delimiter))
+    names = ["id", "note", "rest"]
+    whole = csv._read_files(spark, path, names, delimiter, "utf-8", True)
+    want = [tuple(r) for r in csv.with_line_numbers(whole).orderBy("row_id").collect()]
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("23", "400", kept):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            df = csv.read_csv(spark, path, delimiter, "utf-8")
+            got = [tuple(r) for r in csv.with_line_numbers(df).orderBy("row_id").collect()]
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+        assert len(got) == len(want) >= 300
+        for g, w in zip(got, want, strict=True):
+            assert g == w
+
+
+def test_quoted_line_breaks_in_other_encodings_and_several_files(spark, tmp_path):
+    write(tmp_path / "a.csv", 'k,v\n1,"é\n€"\n2,x\n'.encode("cp1252"))
+    write(tmp_path / "b.csv", 'k,v\n3,"p\nq\nr"\n4,"open\nto the end'.encode("cp1252"))
+    df = csv.read_csv(spark, str(tmp_path), ",")
+    assert sorted(tuple(r) for r in df.select("k", "v").collect()) == [("1", "é\n€"), ("2", "x"), ("3", "p\nq\nr"), ("4", "open\nto the end")]
