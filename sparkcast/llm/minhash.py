@@ -124,6 +124,49 @@ def _links_in_block(percent: int, k: int):
     return run
 
 
+def _teams(lists: DataFrame, block: int) -> DataFrame:
+    """Groups of documents to compare (value, joint, doc_id, root) from lists (value, members, doc_id, root). A family of near
+    copies has many long lists with mostly the same documents; these are compared once, as the union of the lists. Every
+    document names the longest of its lists, and a list follows the one that most of its members name. Where the union has more pairs
+    than the lists have one by one, they stay apart."""
+    long_ = lists.filter(F.col("members") > block)
+    named = long_.groupBy("doc_id").agg(F.max(F.struct("members", "value")).alias("top"))
+    votes = long_.join(named, "doc_id").groupBy("value", "members", F.col("top.value").alias("team")).agg(F.count("*").alias("n"))
+    lead = votes.groupBy("value", "members").agg(F.max(F.struct("n", "team")).alias("v")).select("value", "members", "v.team")
+    lead = materialize(lead, "teams")
+    union = long_.select("value", "doc_id", "root").join(lead.select("value", "team"), "value").select("team", "doc_id", "root").distinct()
+    pairs = union.groupBy("team").agg(F.pow(F.count("*"), F.lit(2)).alias("together"))
+    cheap = lead.groupBy("team").agg(F.sum(F.pow("members", F.lit(2))).alias("apart")).join(pairs, "team").filter("together <= apart").select("team")
+    cheap = materialize(cheap, "joint-teams")
+    alone = lists.join(lead.join(cheap, "team").select("value"), "value", "left_anti").select("value", F.lit(False).alias("joint"), "doc_id", "root")
+    return alone.union(union.join(cheap, "team").select(F.col("team").alias("value"), F.lit(True).alias("joint"), "doc_id", "root"))
+
+
+def _dealt(groups: DataFrame, block: int) -> DataFrame:
+    """Pairs of blocks (value, joint, i, j, doc_id, root). The members of a group's largest component are linked already: they meet the
+    other members only, so rows grow with a group's size times the blocks of documents outside that component. Blocks of
+    these others come first; a group of one block stays whole."""
+    group = ["value", "joint"]
+    groups = materialize(groups, "teamed")
+    parts = groups.groupBy(*group, "root").agg(F.count("*").alias("n")).groupBy(*group).agg(F.max(F.struct("n", "root")).alias("core"), F.sum("n").alias("members"))
+    count = lambda n: F.ceil(n / block).cast("int")
+    small = F.col("members") <= block
+    parts = parts.select(
+        *group, F.when(~small, F.col("core.root")).alias("core"),
+        F.when(small, 1).otherwise(count(F.col("members") - F.col("core.n"))).alias("others"), F.when(small, 0).otherwise(count(F.col("core.n"))).alias("cores"),
+    )
+    inside = F.coalesce(F.col("root") == F.col("core"), F.lit(False))
+    place = F.xxhash64("doc_id")
+    rows = groups.join(parts, group).select(
+        *group, "doc_id", "root", (F.col("others") + F.col("cores")).alias("blocks"), F.when(inside, F.col("others")).otherwise(F.col("others") + F.col("cores")).alias("met"),
+        F.when(inside, F.col("others") + F.pmod(place, F.col("cores"))).otherwise(F.pmod(place, F.col("others"))).cast("int").alias("own"),
+    )
+    # a block's own pairs are compared with each block that it meets
+    meets = F.filter(F.sequence(F.lit(0), F.col("met") - 1), lambda o: (o != F.col("own")) | (F.col("blocks") == 1))
+    at = F.explode(F.transform(meets, lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"))))
+    return rows.select(*group, "doc_id", "root", at.alias("at")).select(*group, "at.i", "at.j", "doc_id", "root")
+
+
 def near_duplicate_components(
     docs: DataFrame, percent: int = 80, size: int = 5, k: int = K, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -172,21 +215,14 @@ def near_duplicate_components(
         "value", "doc_id", F.coalesce("root", "doc_id").alias("root")
     )
     several = open_.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
-    several = several.filter("low < high").select("value", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
+    several = several.filter("low < high").select("value", "members")
     # a list whose members are those of another list needs no second look
-    whole = open_.join(several, "value").groupBy("value", "blocks").agg(
-        F.count("*").alias("m"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who")
-    )
-    several = whole.groupBy("m", "who").agg(F.min(F.struct("value", "blocks")).alias("v")).select("v.value", "v.blocks")
-    # (list, own block, other block): a member joins every pair of blocks that its own block is part of
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    dealt = open_.join(several, "value").withColumn("own", own)
-    dealt = dealt.select(
-        "value", "doc_id", "root",
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))).alias("at"),
-    )
-    dealt = dealt.join(sets, "doc_id").select("value", "at.i", "at.j", "doc_id", "root", "shingles")
-    more = dealt.groupBy("value", "i", "j").applyInPandas(_links_in_block(percent, k), "a long, b long")
+    whole = open_.join(several, "value").groupBy("value", "members").agg(F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who"))
+    several = whole.groupBy("members", "who").agg(F.min("value").alias("value"))
+    open_ = materialize(open_.join(several.select("value", "members"), "value"), "open-lists")
+    dealt = _dealt(_teams(open_, block), block)
+    dealt = dealt.join(sets, "doc_id").select("value", "joint", "i", "j", "doc_id", "root", "shingles")
+    more = dealt.groupBy("value", "joint", "i", "j").applyInPandas(_links_in_block(percent, k), "a long, b long")
     more = materialize(more, "block-links")
     if more.limit(1).count():
         roots = components(links.union(more), "roots")

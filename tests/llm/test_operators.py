@@ -408,6 +408,28 @@ def test_minhash_block_links_sets_of_different_sizes():
         assert minhash._links_in_block(85, 128)(block).to_numpy().tolist() == [[1, 2]]
 
 
+def test_minhash_deals_a_family_once(spark):
+    """Long lists around the same documents: all pairs of components meet, and rows do not grow with the square of a family."""
+    rng, block = random.Random(11), 8
+    family = {d: 1 if d <= 160 else d for d in range(1, 201)}  # one large component and 40 single documents
+    lists = {v: sorted(rng.sample(sorted(family), 150)) for v in range(100, 112)}
+    lists |= {200: [1, 161, 162], 300: list(range(1001, 1041)), 301: list(range(1038, 1078))}  # a short list, and long ones with little in common
+    rows = [(v, len(docs), d, family.get(d, d)) for v, docs in lists.items() for d in docs]
+    given = spark.createDataFrame(rows, "value long, members long, doc_id long, root long")
+    dealt = minhash._dealt(minhash._teams(given, block), block).collect()
+    held, met = {}, set()
+    for r in dealt:
+        held.setdefault((r.value, r.joint, r.i, r.j), {})[r.doc_id] = r.root
+    assert len(dealt) == sum(map(len, held.values()))  # nobody twice in a pair of blocks
+    for docs in held.values():
+        met |= {(a, b) for a in docs for b in docs if a < b and docs[a] != docs[b]}
+    for docs in lists.values():
+        assert {(a, b) for a in docs for b in docs if a < b and family.get(a, a) != family.get(b, b)} <= met
+    of_family = [r for r in dealt if r.doc_id <= 200]
+    assert len(of_family) <= 160 * 5 + 40 * 25 + 3  # every list in pairs of its blocks: 12 * 150 * 19 rows
+    assert {r.value for r in dealt if 1000 < r.doc_id < 1038} == {300}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 300), (300, 200), (5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), "chain").collect()}
