@@ -33,6 +33,7 @@ LONG_CHUNK = 200
 _LITERAL = ""  # the chunk of a literal word mark
 _CHUNK = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _NONE = np.int32(2**31 - 1)
+_EMPTY = np.int64(2**63 - 1)
 _CODECS: dict[tuple, PieceCodec] = {}
 
 
@@ -113,42 +114,73 @@ class PieceCodec:
                 offer(prev[i])
         return [s for s, a in zip(sym, alive, strict=True) if a]
 
+    def _offered(self, keys: np.ndarray, symbols: np.ndarray, left: np.ndarray, middle: np.ndarray, end: np.ndarray, at: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks and merged symbols of the candidates at places `at` = (left, middle) of `symbols`; skipped ones have no rank."""
+        rank, merged = self.pairs.find(symbols[at[0]], symbols[at[1]])
+        if self.rate:
+            some = np.flatnonzero(rank != _NONE)
+            rank[some[self._skipped(keys[some], left[some], middle[some], end[some])]] = _NONE
+        return rank, merged
+
     def merge_short(self, items: list[tuple[int, str]]) -> list[bytes]:
-        """Many chunks side by side: in each round every chunk takes its next candidate. Returns packed piece ids."""
-        sizes = np.fromiter((len(c) for _, c in items), np.int64, len(items))
-        points = np.frombuffer("".join(c for _, c in items).encode("utf-32-le", "surrogatepass"), np.uint32)
-        symbols = self.of_point[points]
-        left = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        stop = left + 1
-        keys = np.fromiter((self._key(v, c) for v, c in items), np.uint64, len(items))
-        live, done = np.arange(len(items)), [b""] * len(items)
-        odd = np.logical_or.reduceat(symbols >= self.unknown, np.cumsum(sizes) - sizes)
-        while len(live):
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            rank = np.full(len(symbols), _NONE, np.int32)
-            rank[:-1], merged = self.pairs.find(symbols[:-1], symbols[1:])
-            rank[starts + sizes - 1] = _NONE
-            if self.rate:
-                some = np.flatnonzero(rank != _NONE)
-                owner = np.repeat(keys, sizes)[some]
-                rank[some[self._skipped(owner, left[some], left[some + 1], stop[some + 1])]] = _NONE
-            lowest = np.minimum.reduceat(rank, starts)
-            going = lowest != _NONE
-            if not going.all():
-                for k in np.flatnonzero(~going):
-                    own = symbols[starts[k] : starts[k] + sizes[k]]
-                    done[live[k]] = self._packed(own.tolist()) if odd[live[k]] else own.tobytes()
-            if not going.any():
-                break
-            hits = np.flatnonzero((rank == np.repeat(lowest, sizes)) & (rank != _NONE))
-            owner = np.repeat(np.arange(len(live)), sizes)[hits]
-            hits = hits[np.concatenate(([True], np.diff(owner) != 0))]  # the leftmost of each chunk
-            symbols[hits] = merged[hits]
-            stop[hits] = stop[hits + 1]
-            keep = np.repeat(going, sizes)
-            keep[hits + 1] = False
-            sizes = sizes[going] - 1
-            symbols, left, stop, live, keys = symbols[keep], left[keep], stop[keep], live[going], keys[going]
+        """Many chunks side by side: in each round every chunk takes its next candidate. Returns packed piece ids.
+        A chunk's candidates stand in `agenda` as rank and place in one number; a merge changes those of its neighbours only."""
+        texts_ = [c for _, c in items]
+        sizes = np.fromiter(map(len, texts_), np.int64, len(items))
+        first = np.cumsum(sizes) - sizes
+        symbols = self.of_point[np.frombuffer("".join(texts_).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        odd = np.flatnonzero(np.logical_or.reduceat(symbols >= self.unknown, first)).tolist()
+        digest, before_chunk = xxhash.xxh64_intdigest, [f"{self.seed}:{v}:" for v in range(self.variants)]  # as `_key`
+        keys = np.array([digest(before_chunk[v] + c) for v, c in items], np.uint64)
+        n = len(symbols)
+        before, after, alive, merged = np.arange(-1, n - 1), np.arange(1, n + 1), np.ones(n, bool), np.zeros(n, np.int32)
+        # the candidates of all neighbours
+        whole = np.arange(n)
+        inner = np.ones(n, bool)
+        inner[first + sizes - 1] = False
+        inner = whole[inner]
+        owner = np.repeat(np.arange(len(items)), sizes)[inner]
+        place = inner - first[owner]
+        rank, merged[inner] = self._offered(keys[owner], symbols, place, place + 1, place + 2, (inner, inner + 1))
+        agenda = np.full(n, _EMPTY)
+        agenda[inner] = np.where(rank != _NONE, (rank.astype(np.int64) << 32) | place, _EMPTY)
+        # per chunk still at work: first place, one past the last, first place in the agenda, key
+        low, high, at, live = first, first + sizes, first, np.ones(len(items), bool)
+        while len(low):
+            best = np.minimum.reduceat(agenda, at)
+            live = best != _EMPTY
+            if 2 * np.count_nonzero(live) < len(live):  # only chunks at work stay in the agenda
+                long_ = high - low
+                agenda = agenda[np.repeat(live, long_)]
+                low, high, keys, best = low[live], high[live], keys[live], best[live]
+                at = np.cumsum(high - low) - (high - low)
+                if not len(low):
+                    break
+                live = np.ones(len(low), bool)
+            go = slice(None) if live.all() else np.flatnonzero(live)
+            lo, hi, shift, key = low[go], high[go], (at - low)[go], keys[go]
+            i = (best[go] & 0xFFFFFFFF) + lo
+            j = after[i]
+            end = after[j]
+            symbols[i], alive[j], after[i] = merged[i], False, end
+            agenda[i + shift] = _EMPTY
+            agenda[j + shift] = _EMPTY
+            some = np.flatnonzero(end < hi)
+            before[end[some]] = i[some]
+            more = np.flatnonzero(i > lo)
+            # the merged symbol with its right and its left neighbour
+            who = np.concatenate((some, more))
+            a = np.concatenate((i[some], before[i[more]]))
+            b = np.concatenate((end[some], i[more]))
+            base = lo[who]
+            left = a - base
+            rank, merged[a] = self._offered(key[who], symbols, left, b - base, after[b] - base, (a, b))
+            agenda[a + shift[who]] = np.where(rank != _NONE, (rank.astype(np.int64) << 32) | left, _EMPTY)
+        stops = (4 * np.cumsum(np.add.reduceat(alive, first, dtype=np.int64))).tolist()
+        packed = symbols[alive].tobytes()
+        done = [packed[start:stop] for start, stop in zip([0, *stops], stops, strict=False)]
+        for k in odd:
+            done[k] = self._packed(np.frombuffer(done[k], np.int32).tolist())
         return done
 
     # -- texts
@@ -175,20 +207,22 @@ class PieceCodec:
             parts = self._chunks(text)
             cut.append((variant, parts))
             wanted[variant].update(parts)
-        fresh = []
+        fresh, ends = [], []
         for v, some in enumerate(wanted):
-            for c in some.difference(self.known[v]):
-                if (kept := self.older[v].get(c)) is not None:
-                    self.known[v][c] = kept
-                else:
+            known, older = self.known[v], self.older[v]
+            missing = some.difference(known)
+            kept = [c for c in missing if c in older]
+            known.update(zip(kept, map(older.__getitem__, kept), strict=True))
+            for c in missing.difference(kept):
+                if len(c) <= LONG_CHUNK:
                     fresh.append((v, c))
-        short = [x for x in fresh if len(x[1]) <= LONG_CHUNK]
-        if short:
-            for (v, c), merged in zip(short, self.merge_short(short), strict=True):
-                self.known[v][c] = merged
-        for v, c in fresh:
-            if len(c) > LONG_CHUNK:
-                self.known[v][c] = self._packed(self.merge_long(v, c))
+                else:
+                    known[c] = self._packed(self.merge_long(v, c))
+            ends.append(len(fresh))
+        if fresh:
+            merged = self.merge_short(fresh)
+            for known, start, stop in zip(self.known, [0, *ends], ends, strict=False):
+                known.update(zip([c for _, c in fresh[start:stop]], merged[start:stop], strict=True))
         return [np.frombuffer(b"".join(map(self.known[v].__getitem__, parts)), np.int32) for v, parts in cut]
 
     def _chunks(self, text: str) -> list[str]:
@@ -196,6 +230,9 @@ class PieceCodec:
         if not text:
             return []
         if MARK not in text:
+            words = text.split(" ")
+            if "" not in words:  # single spaces only
+                return [MARK + w for w in words]
             return _CHUNK.findall(MARK + text.replace(" ", MARK))
         parts = text.split(MARK)
         cut = _CHUNK.findall(MARK + parts[0].replace(" ", MARK))

@@ -83,6 +83,22 @@ def test_contamination_of_null_and_repeated_ids(spark, make_docs):
 # -- 2
 
 
+def test_pieces_side_by_side():
+    """Chunks merged in arrays get the pieces of the heap, and a merge looks again at its neighbours only."""
+    rng = random.Random(5)
+    chunks = [piece_codec.MARK + "".join(rng.choice("aeinrst\u00e9\u4e2d") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    chunks += ["a", piece_codec.MARK * 200, "ab" * 100, "\U0001f600x\x00", *(w for t in EDGE_TEXTS for w in (t or "").split() if len(w) <= 200)]
+    for rate in (0.0, 0.1, 0.5):
+        codec = piece_codec.PieceCodec(PIECES, rate)
+        items = [(rng.randrange(4), c) for c in chunks]
+        assert codec.merge_short(items) == [codec._packed(codec.merge_long(v, c)) for v, c in items]
+    looked, find = [], codec.pairs.find
+    codec.pairs.find = lambda a, b: looked.append(len(a)) or find(a, b)
+    codec.rate = 0.0
+    codec.merge_short([(0, c) for c in chunks])
+    assert sum(looked) <= 3 * sum(map(len, chunks))
+
+
 @pytest.mark.parametrize("rate", [0.0, 0.3])
 def test_piece_codec(rate):
     codec, sp = piece_codec.PieceCodec(PIECES, rate), sentencepiece.SentencePieceProcessor(model_file=PIECES)
