@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 from sparkcast.llm import decontamination, exact_dedup, minhash, passages, piece_codec, secrets, substring_dedup, token_counts, toxicity, url_filter
 from sparkcast.llm.common import components
+from sparkcast.llm.shingles import shingle_hashes
 
 from .conftest import EDGE_TEXTS
 
@@ -308,6 +309,60 @@ def test_passages_behind_other_uses_of_their_phrases(make_docs):
     assert got[0].n_passages == got[1].n_passages == 0
 
 
+def test_compact_windows_of_several_texts_and_equal_values():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        parts = [rng.integers(1, rng.choice([4, 30, 10**6]), n).astype(np.uint64) for n in rng.integers(0, 40, 4)]
+        want, base = [], 0
+        for v in parts:
+            for c in range(len(v)):
+                low = max([k + 1 for k in range(c) if v[k] < v[c]], default=0)
+                high = min([k for k in range(c, len(v)) if v[k] < v[c]], default=len(v))
+                want += [(base + c, base + low, base + high)] * (high - low >= 10)
+            base += len(v)
+        assert passages.compact_windows(np.concatenate(parts), 10, [len(v) for v in parts]) == want
+
+
+def test_passages_across_one_break_have_a_longer_key_in_common():
+    """Of 50 words with one changed, dropped or added, each key of the longer part meets its copy under a longer key."""
+    keys = lambda h, low: {tuple(h[low + a : low + b].tobytes() for a, b in parts) + (parts[-1][0] > 0,) for parts in passages._stretches() if low + parts[-1][0] >= 0 and low + max(b for _, b in parts) <= len(h)}
+    base = sentences(60, 50)
+    for cut in range(50):
+        for edited in (base[:cut] + ["changed"] + base[cut + 1 :], base[:cut] + base[cut + 1 :], base[:cut] + ["added"] + base[cut:]):
+            x, y = shingle_hashes(" ".join(sentences(61, 40) + base + sentences(62, 40))), shingle_hashes(" ".join(sentences(63, 40) + edited + sentences(64, 40)))
+            places = {v: k for k, v in enumerate(x.tolist())}
+            met = [(places[v], k) for k, v in enumerate(y.tolist()) if v in places]
+            both = [(a, b) for a, b in met if (x[a : a + 11] == y[b : b + 11]).all()]
+            assert both and all(keys(x, a) & keys(y, b) for a, b in both), cut
+
+
+def test_passages_of_unsettled_groups_grow_with_their_documents(make_docs, monkeypatch):
+    """Many texts share a phrase of 18 words and two of them a passage around it: few pairs are compared, the passage is found."""
+    pairs, write = [], passages.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        pairs.append(out.count()) if label == "window-pairs" else None
+        return out
+
+    monkeypatch.setattr(passages, "materialize", counted)
+    phrase, shared = sentences(70, 18), [sentences(71, 30), sentences(72, 30)]
+    texts = [sentences(2000 + k, 60) + phrase + sentences(3000 + k, 60) for k in range(120)]
+    texts += [sentences(4000 + k, 40) + shared[0] + phrase + shared[1] + sentences(5000 + k, 40) for k in range(2)]
+    got = {r.doc_id: r for r in passages.mark_passages(make_docs([" ".join(t) for t in texts])).collect()}
+    assert 70 <= got[121].n_repeated <= 90 and 120 in got[121].sources
+    assert all(got[k].n_passages == 0 for k in range(121))
+    assert sum(pairs) < 3 * len(texts)
+
+
+def test_passages_of_one_word_many_times(make_docs):
+    texts = [["w"] * 30 + sentences(80, 60), ["w"] * 400 + sentences(81, 60), sentences(82, 60) + ["w"] * 700 + sentences(83, 60)]
+    got = {r.doc_id: r for r in passages.mark_passages(make_docs([" ".join(t) for t in texts])).collect()}
+    assert got[0].n_passages == got[1].n_passages == 0
+    (start, stop), = [tuple(map(int, v.split(":"))) for v in got[2].spans.split(",")]
+    assert 55 <= start <= 60 and 760 <= stop <= 765 and 1 in got[2].sources
+
+
 # -- 7
 
 
