@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,8 @@ from sparkcast.operators.quantiles import exact_quantiles
 from sparkcast.session import materialize
 
 Scorer = Callable[[DataFrame], DataFrame]
+#: Values that one job of `permutation_importance` sends; a run sends one for each row.
+SENT_ROWS = 50_000_000
 
 
 def apply_scenario(df: DataFrame, assumptions: Mapping[str, Mapping[str, Any]]) -> DataFrame:
@@ -83,8 +86,9 @@ def permutation_importance(
     """Mean and deviation of the loss of a metric when one feature is shuffled.
 
     Rows are numbered once, in the order of a hash of the key, and written. Each (feature, repeat) then takes donors by
-    arithmetic on the positions, so no run orders anything; all runs share one join and one job. The metric is
-    higher-is-better: an aggregate of (target, prediction).
+    arithmetic on the positions, so no run orders anything. Only the one value that a row gives and its place are sent; runs
+    share a join and a job as long as they send at most `SENT_ROWS` values, and a job's shuffle files go before the next.
+    The metric is higher-is-better: an aggregate of (target, prediction).
     """
     base = score(df).agg(metric(F.col(target), F.col("prediction")).alias("b")).scalar()
     numbered = _positions(df.withColumn("_share", unit_hash(F.col(key), F.lit("row"), F.lit(seed))), [], "_share", "position")
@@ -92,27 +96,40 @@ def permutation_importance(
     n = rows.count()
     steps = shuffle_steps(len(features) * repeats, seed, n)
     runs = [(f, r, *steps[i * repeats + r]) for i, f in enumerate(features) for r in range(repeats)]
-    table = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), F.lit(a).alias("a"), F.lit(b).alias("b")) for f, r, a, b in runs])
-    asked = rows.withColumn("_r", F.explode(table)).withColumn(
-        "_donor", ((F.col("position") - 1) * F.col("_r.a") + F.col("_r.b")) % F.lit(max(n, 1)) + 1
-    )
-    donors = rows.select(F.col("position").alias("_position"), F.struct(*[F.col(f).cast("double").alias(f) for f in features]).alias("_given"))
-    # Both sides grow with the data: always a sort-merge join.
-    met = asked.hint("merge").join(donors, F.col("_donor") == F.col("_position"))
-    shuffled = met.withColumns(
-        {f: F.when(F.col("_r.feature") == f, F.col(f"_given.{f}")).otherwise(F.col(f).cast("double")) for f in features}
-    )
-    losses = (
-        score(shuffled)
-        .groupBy(F.col("_r.feature").alias("feature"), F.col("_r.repeat").alias("repeat"))
-        .agg(metric(F.col(target), F.col("prediction")).alias("_score"))
-        .withColumn("drop", base - F.col("_score"))
-    )
-    return losses.groupBy("feature").agg(
+
+    def losses(some: Sequence[tuple[str, int, int, int]]) -> DataFrame:
+        given = F.array(
+            *[
+                F.struct(F.lit(i).alias("_run"), _taker(F.col("position"), a, b, n).alias("_taker"), F.col(f).cast("double").alias("_given"))
+                for i, (f, _, a, b) in enumerate(some)
+            ]
+        )
+        # Both sides grow with the data: always a sort-merge join.
+        met = rows.hint("merge").join(rows.select(F.inline(given)), F.col("position") == F.col("_taker"))
+        mine = {f: [i for i, run in enumerate(some) if run[0] == f] for f in features}
+        shuffled = met.withColumns({f: F.when(F.col("_run").isin(mine[f]), F.col("_given")).otherwise(F.col(f).cast("double")) for f in features})
+        names = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat")) for f, r, _, _ in some])
+        scores = score(shuffled).groupBy("_run").agg(metric(F.col(target), F.col("prediction")).alias("_score"))
+        return scores.select(names[F.col("_run")]["feature"].alias("feature"), names[F.col("_run")]["repeat"].alias("repeat"), "_score")
+
+    at_once = max(1, SENT_ROWS // max(n, 1))
+    parts = [losses(runs[i : i + at_once]) for i in range(0, len(runs), at_once)]
+    scored = parts[0] if len(parts) == 1 else reduce(DataFrame.union, [materialize(part, "permutation-scores") for part in parts])
+    return scored.withColumn("drop", base - F.col("_score")).groupBy("feature").agg(
         F.avg("drop").alias("mean_decrease"), F.stddev_pop("drop").alias("std_decrease")
     )
 
 
+def _taker(position: Column, a: int, b: int, n: int) -> Column:
+    """The position whose donor `position` is: (position - b) / a modulo the number of rows, in steps that stay below 2**63 for
+    up to 10**11 rows."""
+    n = max(n, 1)
+    inverse = pow(a, -1, n)
+    away = F.pmod(position - F.lit(1 + b % n), F.lit(n))
+    high, low = divmod(inverse, 1 << 20)
+    return ((away * F.lit(high)) % F.lit(n) * F.lit(1 << 20) + away * F.lit(low)) % F.lit(n) + 1
+
+
 def partial_dependence(df: DataFrame, feature: str, score: Scorer, points: int = 20) -> DataFrame:
     """Mean prediction with one feature set to each point between its 5th and 95th percentile."""
     ends = exact_quantiles(df, [], feature, {"low": 0.05, "high": 0.95})

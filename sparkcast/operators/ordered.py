@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkcast.session import scratch_path
+from sparkcast.session import scratch_path, shuffles_dropped
 
 ROWS_PER_BUCKET = 1_000_000
 
@@ -19,7 +19,8 @@ ROWS_PER_BUCKET = 1_000_000
 def _sorted_files(df: DataFrame, order: Sequence[str | Column], rows_per_file: int) -> DataFrame:
     """The rows with their file (`_part`, `_piece`) and place in it (`_row`). Files follow the order."""
     path = scratch_path(df.sparkSession, "sorted")
-    df.orderBy(*order).write.option("maxRecordsPerFile", rows_per_file).parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.orderBy(*order).write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     file = F.col("_metadata.file_name")
     return df.sparkSession.read.schema(df.schema).parquet(path).select(
         "*",
